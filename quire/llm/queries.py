@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quire.llm import bpe_codec, token_counts
+from quire.llm import bpe_codec, chat_format, token_counts
 from quire.llm.common import read, vocabulary_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +17,13 @@ def op1_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.round_trip(read(spark, sf_dir, "documents"), vocabulary_path("byte_bpe_multi_50k.tiktoken"))
 
 
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    both = "\\### Assistant: </turn> ok"
+    extra = spark.range(2).selectExpr("-7L AS conv_id", "id AS turn", "if(id = 0, 'user', 'assistant') AS role").withColumn("text", F.lit(both))
+    chats = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    return chat_format.digests(chat_format.format_chats(chats))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = token_counts.count_tokens(read(spark, sf_dir, "documents"), vocabulary_path("byte_bpe_50k.json"))
     return token_counts.with_limit(counts, 1024)
@@ -23,7 +31,29 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_bpe_codec": op1_bpe_codec,
+    "op7_chat_format": op7_chat_format,
     "op9_token_counts": op9_token_counts,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+OP7_SQL = r"""
+WITH rows AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+    UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+), sized AS (
+    SELECT *, length(role) + length(text) + 4 + 2 + 8
+        + (length(role || chr(9) || text) - length(replace(role || chr(9) || text, '\', '')))
+        + (length(role || chr(9) || text) - length(replace(role || chr(9) || text, ':', '')))
+        + (length(role || chr(9) || text) - length(replace(role || chr(9) || text, '###', ''))) // 3
+        + (length(role || chr(9) || text) - length(replace(role || chr(9) || text, '</turn>', ''))) // 7 AS chars
+    FROM rows
+)
+SELECT conv_id, count(*) AS n_turns,
+    sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+    CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+    sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+    CAST(sum(chars) AS BIGINT) AS formatted_chars, false AS rewritten
+FROM sized GROUP BY conv_id
+"""
+
+ORACLE_SQL: dict[str, str] = {"op7_chat_format": OP7_SQL}
