@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import bpe_codec, chat_format, token_counts
+from quire.llm import bpe_codec, chat_format, decontaminate, quality, token_counts
 from quire.llm.common import read, vocabulary_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,23 @@ def op1_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.round_trip(read(spark, sf_dir, "documents"), vocabulary_path("byte_bpe_multi_50k.tiktoken"))
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.digests(decontaminate.find(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")))
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = quality.train(docs, read(spark, sf_dir, "labels"), quality.graded())
+    scored = quality.score(docs, model)
+    return scored.select(
+        "doc_id",
+        "expected_grade",
+        F.element_at("tails", 1).alias("p_at_least_1"),
+        F.element_at("tails", 2).alias("p_at_least_2"),
+        quality.accepted().alias("accepted"),
+    )
+
+
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = "\\### Assistant: </turn> ok"
     extra = spark.range(2).selectExpr("-7L AS conv_id", "id AS turn", "if(id = 0, 'user', 'assistant') AS role").withColumn("text", F.lit(both))
@@ -31,7 +48,9 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_bpe_codec": op1_bpe_codec,
+    "op5_decontaminate": op5_decontaminate,
     "op7_chat_format": op7_chat_format,
+    "op8_quality": op8_quality,
     "op9_token_counts": op9_token_counts,
 }
 
@@ -56,4 +75,30 @@ SELECT conv_id, count(*) AS n_turns,
 FROM sized GROUP BY conv_id
 """
 
-ORACLE_SQL: dict[str, str] = {"op7_chat_format": OP7_SQL}
+OP5_SQL = r"""
+WITH d AS (
+    SELECT row_number() OVER () AS row, doc_id,
+        coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+'), []) AS w
+    FROM documents
+), b AS (
+    SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item_id,
+        regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') AS w
+    FROM benchmark
+), windows AS (
+    SELECT DISTINCT item_id, least(len(w), 13) AS n, array_to_string(w[k:k + 12], ' ') AS s
+    FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS k FROM b WHERE len(w) > 0)
+), places AS (
+    SELECT row, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM d, (SELECT DISTINCT n FROM windows)
+), hits AS (
+    SELECT row, k, windows.n AS n, item_id FROM places JOIN windows ON windows.n = places.n AND s = array_to_string(w[k:k + places.n - 1], ' ')
+), covered AS (
+    SELECT row, count(DISTINCT p) AS n_hit FROM (SELECT DISTINCT row, unnest(range(k, k + n)) AS p FROM hits) GROUP BY row
+), named AS (
+    SELECT row, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT row, item_id FROM hits) GROUP BY row
+)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+    coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN covered USING (row) LEFT JOIN named USING (row)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op5_decontaminate": OP5_SQL, "op7_chat_format": OP7_SQL}
