@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import bpe_codec, chat_format, decontaminate, quality, token_counts
+from quire.llm import bpe_codec, chat_format, decontaminate, minhash, quality, token_counts
 from quire.llm.common import read, vocabulary_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,10 @@ def op1_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.round_trip(read(spark, sf_dir, "documents"), vocabulary_path("byte_bpe_multi_50k.tiktoken"))
 
 
+def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(read(spark, sf_dir, "documents"), width=2)
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digests(decontaminate.find(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")))
 
@@ -48,6 +52,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_bpe_codec": op1_bpe_codec,
+    "op2_minhash": op2_minhash,
     "op5_decontaminate": op5_decontaminate,
     "op7_chat_format": op7_chat_format,
     "op8_quality": op8_quality,
