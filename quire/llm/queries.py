@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import bpe_codec, chat_format, decontaminate, minhash, quality, token_counts
+from quire.llm import bpe_codec, chat_format, decontaminate, embedding, minhash, quality, token_counts
 from quire.llm.common import read, vocabulary_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +21,10 @@ def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read(spark, sf_dir, "documents"), width=2)
 
 
+def op3_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding.near_vectors(read(spark, sf_dir, "embeddings"), cosine=0.98)
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digests(decontaminate.find(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")))
 
@@ -53,6 +57,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_bpe_codec": op1_bpe_codec,
     "op2_minhash": op2_minhash,
+    "op3_embedding": op3_embedding,
     "op5_decontaminate": op5_decontaminate,
     "op7_chat_format": op7_chat_format,
     "op8_quality": op8_quality,
@@ -106,4 +111,19 @@ SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items,
 FROM d LEFT JOIN covered USING (row) LEFT JOIN named USING (row)
 """
 
-ORACLE_SQL: dict[str, str] = {"op5_decontaminate": OP5_SQL, "op7_chat_format": OP7_SQL}
+OP3_SQL = """
+WITH RECURSIVE v AS (
+    SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+), ok AS (
+    SELECT * FROM v WHERE label IS NOT NULL AND e IS NOT NULL AND list_sum([x * x for x in e]) > 0
+        AND len([x for x in e if x IS NULL OR NOT isfinite(x)]) = 0
+), links AS (
+    SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.label = b.label AND a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.98
+), reach(a, b) AS (
+    SELECT vec_id, vec_id FROM v UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a
+), lows AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a)
+SELECT vec_id, (SELECT count(*) FROM links WHERE links.a = vec_id) AS n_links, component_id, vec_id = component_id AS kept
+FROM v JOIN lows ON lows.a = vec_id
+"""
+
+ORACLE_SQL: dict[str, str] = {"op3_embedding": OP3_SQL, "op5_decontaminate": OP5_SQL, "op7_chat_format": OP7_SQL}
