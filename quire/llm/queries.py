@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import bpe_codec, chat_format, decontaminate, embedding, minhash, quality, token_counts
+from quire.llm import bpe_codec, chat_format, decontaminate, embedding, line_dedup, minhash, quality, token_counts
 from quire.llm.common import read, vocabulary_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +25,11 @@ def op3_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding.near_vectors(read(spark, sf_dir, "embeddings"), cosine=0.98)
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = line_dedup.dedup_lines(read(spark, sf_dir, "documents"))
+    return cleaned.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digests(decontaminate.find(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")))
 
@@ -58,6 +63,7 @@ QUERIES: dict[str, Query] = {
     "op1_bpe_codec": op1_bpe_codec,
     "op2_minhash": op2_minhash,
     "op3_embedding": op3_embedding,
+    "op4_line_dedup": op4_line_dedup,
     "op5_decontaminate": op5_decontaminate,
     "op7_chat_format": op7_chat_format,
     "op8_quality": op8_quality,
