@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import bpe_codec, chat_format, decontaminate, embedding, line_dedup, minhash, quality, token_counts
+from quire.llm import bpe_codec, chat_format, decontaminate, embedding, line_dedup, minhash, quality, suffixes, token_counts
 from quire.llm.common import read, vocabulary_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -59,6 +59,11 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.with_limit(counts, 1024)
 
 
+def op10_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffixes.dedup_substrings(read(spark, sf_dir, "documents"), length=100)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_bpe_codec": op1_bpe_codec,
     "op2_minhash": op2_minhash,
@@ -68,6 +73,7 @@ QUERIES: dict[str, Query] = {
     "op7_chat_format": op7_chat_format,
     "op8_quality": op8_quality,
     "op9_token_counts": op9_token_counts,
+    "op10_suffixes": op10_suffixes,
 }
 
 OP7_SQL = r"""
