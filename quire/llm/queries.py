@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import bpe_codec, chat_format, decontaminate, embedding, line_dedup, minhash, quality, suffixes, token_counts
+from quire.llm import bpe_codec, chat_format, decontaminate, embedding, line_dedup, minhash, quality, suffixes, token_counts, warc
 from quire.llm.common import read, vocabulary_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -47,6 +47,13 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = warc.captured(spark, read(spark, sf_dir, "pages"))
+    return index.select(
+        F.col("page").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers").alias("refers_to")
+    )
+
+
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = "\\### Assistant: </turn> ok"
     extra = spark.range(2).selectExpr("-7L AS conv_id", "id AS turn", "if(id = 0, 'user', 'assistant') AS role").withColumn("text", F.lit(both))
@@ -70,6 +77,7 @@ QUERIES: dict[str, Query] = {
     "op3_embedding": op3_embedding,
     "op4_line_dedup": op4_line_dedup,
     "op5_decontaminate": op5_decontaminate,
+    "op6_warc": op6_warc,
     "op7_chat_format": op7_chat_format,
     "op8_quality": op8_quality,
     "op9_token_counts": op9_token_counts,
@@ -138,4 +146,18 @@ SELECT vec_id, (SELECT count(*) FROM links WHERE links.a = vec_id) AS n_links, c
 FROM v JOIN lows ON lows.a = vec_id
 """
 
-ORACLE_SQL: dict[str, str] = {"op3_embedding": OP3_SQL, "op5_decontaminate": OP5_SQL, "op7_chat_format": OP7_SQL}
+OP6_SQL = """
+WITH p AS (
+    SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS hex FROM pages WHERE page_id IS NOT NULL
+), r AS (SELECT *, max(page_id) OVER (PARTITION BY hex) AS original FROM p)
+SELECT page_id, payload_bytes,
+    list_aggregate([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+        (((instr('0123456789abcdef', hex[5 * i // 4 + 1]) - 1) * 16
+          + greatest(instr('0123456789abcdef', substr(hex, CAST(5 * i // 4 + 2 AS BIGINT), 1)) - 1, 0)) >> (3 - 5 * i % 4)) % 32 + 1, 1)
+        for i in range(32)], 'string_agg', '') AS payload_digest,
+    CASE WHEN page_id = original THEN 'response' ELSE 'revisit' END AS record_type,
+    CASE WHEN page_id = original THEN NULL ELSE original END AS refers_to
+FROM r
+"""
+
+ORACLE_SQL: dict[str, str] = {"op6_warc": OP6_SQL, "op3_embedding": OP3_SQL, "op5_decontaminate": OP5_SQL, "op7_chat_format": OP7_SQL}
