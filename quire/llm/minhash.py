@@ -10,11 +10,14 @@ at least ``need`` of k sketch values (28 of 64 but for a chance below 1e-10; all
 smaller sets, whose sketch is the set), so any two similar sets meet in a list of prefixes that
 leave out need - 1 values.  The order comes from a histogram of fixed size over hash buckets.
 
+A list's rows carry 128 bits more, one from the smallest hash in each of 128 bins; similar sets
+differ in an eighth of them at most on average, and in more than ``FAR`` with a chance below 1e-10,
+so the join of a list with itself drops most pairs of strangers before it returns them.
+
 Equal sets are one class from the start.  In a list, only pairs of different components are ever
-compared: a first round compares all with one member, further rounds with another, and once what
-is left is no more than the lists are long, the last one compares all pairs that are still apart.
-So a group of a thousand copies costs about a thousand comparisons, and no link between components
-is lost.
+compared: a first round compares all with one member, and so do others while many pairs are left;
+the last one compares all pairs that are still apart.  So a group of a thousand copies costs about
+a thousand comparisons, and no link between components is lost.
 
 Null and empty texts, or texts without words, have an empty set and link with nothing.  Rows with a
 null id are returned, without links and with a null component.  Rows that repeat an id share its
@@ -38,10 +41,14 @@ from quire.llm.components import components
 K, NEED = 64, 28
 #: Buckets of the rarity histogram and bits of the filter of wanted ids: both of fixed size.
 BUCKETS, BITS = 1 << 18, 1 << 23
+#: Bits in which the 128-bit marks of similar sets may differ.
+FAR = 40
 #: Words whose hash a worker remembers.
 REMEMBERED = 800_000
 #: Rounds that compare with one member of each list before all remaining pairs are compared.
-STAR_ROUNDS = 6
+STAR_ROUNDS = 4
+#: Pairs still apart, by rows of the lists, that the last round takes on.
+AT_ONCE = 50
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -78,8 +85,18 @@ class Shingler:
         return np.unique((run >> np.uint64(1)).astype(np.int64))
 
 
+def mark(hashes: np.ndarray) -> tuple[int, int]:
+    """One bit of the smallest hash in each of 128 bins; 0 for an empty bin."""
+    bins = hashes & 127
+    found, first = np.unique(bins, return_index=True)  # the hashes are sorted, so the first is the smallest
+    bits = np.zeros(128, np.uint8)
+    bits[found] = (hashes[first] >> 7) & 1
+    one, two = np.frombuffer(np.packbits(bits).tobytes(), np.int64).tolist()
+    return one, two
+
+
 def sketches(docs: DataFrame, width: int, key: str, text: str) -> DataFrame:
-    """Rows (key, n, digest, sketch): size, digest and k smallest hashes of each set."""
+    """Rows (key, n, digest, sketch, x, y): size, digest, k smallest hashes and mark of each set."""
     import hashlib
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,12 +109,14 @@ def sketches(docs: DataFrame, width: int, key: str, text: str) -> DataFrame:
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()),
                     pa.array([s[:K] for s in sets], pa.list_(pa.int64())),
+                    *(pa.array([m[k] for m in map(mark, sets)], pa.int64()) for k in (0, 1)),
                 ],
-                ["key", "n", "digest", "sketch"],
+                ["key", "n", "digest", "sketch", "x", "y"],
             )
 
     schema = T.StructType(
         [T.StructField("key", docs.schema[key].dataType), T.StructField("n", T.LongType()), T.StructField("digest", T.BinaryType()), T.StructField("sketch", T.ArrayType(T.LongType()))]
+        + [T.StructField(c, T.LongType()) for c in "xy"]
     )
     return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, schema)
 
@@ -106,38 +125,64 @@ def needed(n: np.ndarray, percent: int) -> np.ndarray:
     return np.minimum(NEED, -(-percent * n // 100))
 
 
+def _filter(hashes: DataFrame, column: str, bits: int) -> np.ndarray:
+    """A bit for each value of ``column``, in words of 32: at most bits / 32 rows come to the driver."""
+    cells = hashes.select(F.shiftright(column, 5).cast("int").alias("cell"), F.expr(f"shiftleft(1L, cast({column} & 31 as int))").alias("mask"))
+    found = cells.groupBy("cell").agg(F.bit_or("mask").alias("mask")).toPandas()
+    filled = np.zeros(bits // 32, np.uint32)
+    filled[found["cell"].to_numpy(np.int64)] = found["mask"].to_numpy(np.int64).astype(np.uint32)
+    return filled
+
+
+def _inside(filled: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return (filled[at >> 5] >> (at & 31).astype(np.uint32)) & 1 > 0
+
+
 def postings(classes: DataFrame, percent: int) -> DataFrame:
-    """Rows (value, rep, n): the prefix of each sketch in order of rarity."""
+    """Rows (value, rep, n, x, y) of lists with others: the prefix of each sketch in order of rarity."""
     spark = classes.sparkSession
     bucket = F.pmod(F.col("value"), F.lit(BUCKETS))
     counted = classes.select(F.explode("sketch").alias("value")).groupBy(bucket.cast("int").alias("bucket")).count().toPandas()  # at most BUCKETS rows
     histogram = np.zeros(BUCKETS, np.int64)
     histogram[counted["bucket"].to_numpy(np.int64)] = counted["count"].to_numpy(np.int64)
     shared = spark.sparkContext.broadcast(histogram)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rarity = shared.value
-        for batch in batches:
-            lists = batch.column(2)
-            flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-            sizes = np.diff(lists.offsets.to_numpy()).astype(np.int64)
-            owner = np.repeat(np.arange(len(sizes)), sizes)
-            order = np.lexsort((flat, rarity[flat % BUCKETS], owner))
-            place = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            n = batch.column(1).to_numpy(zero_copy_only=False)
-            keep = place < np.repeat(sizes - needed(n, percent) + 1, sizes)
-            picked = order[keep]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(flat[picked]), batch.column(0).take(pa.array(owner[picked])), pa.array(n[owner[picked]])], ["value", "rep", "n"]
-            )
-
-    schema = T.StructType([T.StructField("value", T.LongType()), classes.schema["rep"], T.StructField("n", T.LongType())])
-    return classes.select("rep", "n", "sketch").mapInArrow(run, schema)
+    kind = classes.schema["rep"]
+
+    def prefixes(wanted):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            rarity = shared.value
+            for batch in batches:
+                lists = batch.column(2)
+                flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+                sizes = np.diff(lists.offsets.to_numpy()).astype(np.int64)
+                owner = np.repeat(np.arange(len(sizes)), sizes)
+                order = np.lexsort((flat, rarity[flat % BUCKETS], owner))
+                place = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                n = batch.column(1).to_numpy(zero_copy_only=False)
+                picked = order[place < np.repeat(sizes - needed(n, percent) + 1, sizes)]
+                if wanted is None:
+                    yield pa.RecordBatch.from_arrays([pa.array(flat[picked])], ["value"])
+                    continue
+                picked = picked[_inside(wanted.value, flat[picked] & (BITS - 1))]
+                at = pa.array(owner[picked])
+                columns = [batch.column(k).take(at) for k in (0, 1, 3, 4)]
+                yield pa.RecordBatch.from_arrays([pa.array(flat[picked]), *columns], ["value", "rep", "n", "x", "y"])
+
+        return run
+
+    number = lambda c: T.StructField(c, T.LongType())
+    rows = classes.select("rep", "n", "sketch", "x", "y")
+    many = rows.mapInArrow(prefixes(None), T.StructType([number("value")])).groupBy("value").count().where("count > 1")
+    many = cut(many.select("value", F.col("value").bitwiseAND(F.lit(BITS - 1)).alias("bit")))
+    wanted = spark.sparkContext.broadcast(_filter(many, "bit", BITS))
+    listed = rows.mapInArrow(prefixes(wanted), T.StructType([number("value"), kind, number("n"), number("x"), number("y")]))
+    return listed.join(many.select("value"), "value", "left_semi")
 
 
 def _near_enough(percent: int) -> Column:
-    """Whether the sizes n and m of two sets leave room for the similarity."""
-    return 100 * F.least("n", "m") >= percent * F.greatest("n", "m")
+    """Whether sizes n, m and marks x, y and v, w of two sets leave room for the similarity."""
+    apart = F.bit_count(F.col("x").bitwiseXOR(F.col("v"))) + F.bit_count(F.col("y").bitwiseXOR(F.col("w")))
+    return (100 * F.least("n", "m") >= percent * F.greatest("n", "m")) & (apart <= FAR)
 
 
 def _likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -155,17 +200,13 @@ def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int, key:
     wanted = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
     # A filter of fixed size keeps most other documents out of the shuffle; the join decides.
     bit = F.pmod(F.xxhash64("key"), F.lit(BITS))
-    cells = wanted.select(F.shiftright(bit, 5).cast("int").alias("cell"), F.expr("shiftleft(1L, cast(pmod(xxhash64(key), 32) as int))").alias("mask"))
-    found = cells.groupBy("cell").agg(F.bit_or("mask").alias("mask")).toPandas()  # at most BITS / 32 rows
-    filled = np.zeros(BITS // 32, np.uint32)
-    filled[found["cell"].to_numpy(np.int64)] = found["mask"].to_numpy(np.int64).astype(np.uint32)
-    shared = spark.sparkContext.broadcast(filled)
+    shared = spark.sparkContext.broadcast(_filter(wanted.select(bit.alias("bit")), "bit", BITS))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filter_, shingle = shared.value, Shingler(width)
         for batch in batches:
             at = batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64)
-            inside = np.flatnonzero((filter_[at >> 5] >> (at & 31).astype(np.uint32)) & 1)
+            inside = np.flatnonzero(_inside(filter_, at))
             some = batch.take(pa.array(inside))
             for k in range(0, len(some), 500):
                 part = some.slice(k, 500)
@@ -192,11 +233,10 @@ def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int, key:
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows (key, n_shingles, component_id, kept), one per document."""
     table = cut(sketches(docs, width, key, text))
-    classes = cut(table.where("n > 0 AND key IS NOT NULL").groupBy("digest", "n", "sketch").agg(F.min("key").alias("rep")))
-    listed = postings(classes, percent)
-    many = listed.groupBy("value").count().where("count > 1").select("value")
-    lists = cut(listed.join(many, "value", "left_semi"))
-    links, named = None, lists.select("value", "rep", "n", F.col("rep").alias("component"))
+    classes = table.where("n > 0 AND key IS NOT NULL").groupBy("digest", "n", "sketch", "x", "y").agg(F.min("key").alias("rep"))
+    classes = cut(classes)
+    lists = cut(postings(classes, percent))
+    links, named = None, lists.withColumn("component", F.col("rep"))
     for turn in range(STAR_ROUNDS + 1):
         # Lists that hold more than one component, and how many pairs are still apart in them.
         parts = named.groupBy("value", "component").agg(F.count("*").alias("part"))
@@ -204,15 +244,15 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, key: str
         total = open_.agg(F.sum("all").alias("rows"), F.sum((F.col("all") * F.col("all") - F.col("squares")) / 2).alias("apart")).first()
         if not total["rows"]:
             break
-        last = turn > 0 and (total["apart"] <= 2 * total["rows"] or turn == STAR_ROUNDS)
+        last = turn > 0 and (total["apart"] <= AT_ONCE * total["rows"] or turn == STAR_ROUNDS)
         rest = named.join(open_.select("value"), "value", "left_semi")
         if last:
-            other = rest.select("value", F.col("rep").alias("b"), F.col("n").alias("m"), F.col("component").alias("c"))
+            other = rest.select("value", F.col("rep").alias("b"), F.col("n").alias("m"), F.col("component").alias("c"), F.col("x").alias("v"), F.col("y").alias("w"))
             pairs = rest.join(other, "value").where((F.col("component") < F.col("c")) & _near_enough(percent))
             pairs = pairs.select(F.least("rep", "b").alias("a"), F.greatest("rep", "b").alias("b"))
         else:
             order = F.col("rep") if turn == 0 else F.xxhash64("rep", F.lit(turn))
-            heads = rest.groupBy("value").agg(F.min(F.struct(order.alias("o"), F.col("rep").alias("b"), F.col("n").alias("m"), F.col("component").alias("c"))).alias("head")).select("value", "head.*")
+            heads = rest.groupBy("value").agg(F.min(F.struct(order.alias("o"), F.col("rep").alias("b"), F.col("n").alias("m"), F.col("component").alias("c"), F.col("x").alias("v"), F.col("y").alias("w"))).alias("head")).select("value", "head.*")
             pairs = rest.join(heads, "value").where((F.col("component") != F.col("c")) & _near_enough(percent))
             pairs = pairs.select(F.least("rep", "b").alias("a"), F.greatest("rep", "b").alias("b"))
         likely = cut(_likely(pairs.distinct(), classes))
@@ -221,7 +261,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, key: str
         groups = components(links).select(F.col("node").alias("rep"), F.col("component").alias("merged"))
         if last:
             break
-        named = lists.join(groups, "rep", "left").select("value", "rep", "n", F.coalesce("merged", "rep").alias("component"))
+        named = lists.join(groups, "rep", "left").select(*lists.columns, F.coalesce("merged", "rep").alias("component"))
     reps = classes.select("digest", "n", "rep")
     if links is not None:
         reps = reps.join(groups, "rep", "left").select("digest", "n", F.coalesce("merged", "rep").alias("component"))
