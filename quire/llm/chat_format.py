@@ -142,8 +142,8 @@ def format_chats(
             yield table(done)
 
     def table(done: list[tuple]) -> pd.DataFrame:
-        frame = pd.DataFrame(done, columns=names)
-        return frame.astype({names[0]: "Int64"}) if whole else frame
+        keys = pd.array([d[0] for d in done], dtype="Int64" if whole else "object")
+        return pd.DataFrame({names[0]: keys, **{n: [d[k] for d in done] for k, n in enumerate(names[1:], 1)}})
 
     whole = isinstance(fields[0].dataType, (T.LongType, T.IntegerType, T.ShortType, T.ByteType))
     rows = df.select(

@@ -77,7 +77,7 @@ def words(texts: list[str]) -> tuple[list[str], np.ndarray]:
     ends = np.cumsum([len(t) for t in texts]) if texts else np.zeros(0, np.int64)
     cuts = np.concatenate([[0], ends]).astype(np.int64)
     first = starts(whole, cuts[:-1][cuts[:-1] < len(whole)])
-    stops = np.append(first[1:], len(whole)).tolist()
+    stops = np.append(first[1:], [len(whole)] * (len(first) > 0)).astype(np.int64).tolist()
     found = [whole[a:b] for a, b in zip(first.tolist(), stops, strict=True)]
     return found, np.diff(np.searchsorted(first, cuts)).astype(np.int64)
 

@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 
 DIMENSIONS = 1 << 18
 #: Step of the fit.
-STEP = 0.3
+STEP = 0.1
 #: Distinct words whose weight a worker remembers; beyond it the memory starts anew.
 REMEMBERED = 1_000_000
 
@@ -40,7 +40,7 @@ _BLANKED = bytes(b if b >= 0x80 or chr(b).isalnum() else 0x20 for b in range(256
 
 
 def style(raw: bytes, words: list[bytes], distinct: int) -> list[bytes]:
-    """Bands of style as named features; a space begins the name, so no word has it."""
+    """The bands of style that a text reaches, as named features; a space begins the name, so no word has it."""
     count = max(1, len(words))
     letters = np.frombuffer(raw, np.uint8)
     capitals = int(((letters >= 0x41) & (letters <= 0x5A)).sum())
@@ -53,7 +53,7 @@ def style(raw: bytes, words: list[bytes], distinct: int) -> list[bytes]:
         b" repeats": min(9, 10 * (count - distinct) // count),
         b" length": min(7, len(words).bit_length() // 2),
     }
-    return [name + b"%d" % band for name, band in bands.items()]
+    return [name + b"%d" % k for name, band in bands.items() for k in range(1, band + 1)]
 
 
 def features(text: str | None) -> list[bytes]:
@@ -78,15 +78,17 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(scores[:, None] - self.thresholds[None, :], -40, 40)))
 
 
-def fit(rows: list[np.ndarray], grades: np.ndarray, grades_in_all: int, rounds: int = 120, lasso: float = 1.5e-3, least: int = 5) -> Model:
-    """Full-batch proximal Adagrad on the cumulative-link likelihood.
+def fit(rows: list[np.ndarray], grades: np.ndarray, grades_in_all: int, rounds: int = 160, lasso: float = 1e-3, least: int = 5, most: float = 0.3) -> Model:
+    """Full-batch proximal Adagrad on the cumulative-link likelihood; the later half of the steps is averaged.
 
-    Features of fewer than ``least`` rows stay at 0, and ``lasso`` keeps those at 0 that say little.
+    Features of fewer than ``least`` rows or more than a share ``most`` of them stay at 0, and
+    ``lasso`` keeps those at 0 that say little.
     """
     sizes = np.array([len(r) for r in rows])
     flat = np.concatenate(rows)
     owner = np.repeat(np.arange(len(rows)), sizes)
-    use = (np.bincount(flat, minlength=DIMENSIONS) >= least)[flat]
+    spread = np.bincount(flat, minlength=DIMENSIONS)
+    use = ((spread >= least) & (spread <= most * len(rows)))[flat]
     used, flat = np.unique(flat[use], return_inverse=True)
     owner = owner[use]
     n, k = len(rows), grades_in_all - 1
@@ -95,7 +97,8 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, grades_in_all: int, rounds:
     below = np.cumsum(np.bincount(grades, minlength=grades_in_all))[:-1] / n
     gaps = np.log((below + 1e-3) / (1 - below + 1e-3))
     sums, gap_sums = np.full(len(used), 1e-8), np.full(k, 1e-8)
-    for _ in range(rounds):
+    mean, mean_gaps = np.zeros(len(used)), np.zeros(k)
+    for turn in range(rounds):
         scores = np.bincount(owner, weights=weights[flat], minlength=n)
         tails = 1 / (1 + np.exp(-np.clip(scores[:, None] - gaps[None, :], -40, 40)))
         # P(grade) is a difference of neighbouring tails; its logarithm's derivative by the two ends.
@@ -113,9 +116,12 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, grades_in_all: int, rounds:
         weights = np.sign(moved) * np.maximum(np.abs(moved) - pace * lasso, 0)
         gap_sums += (by_gap / n) ** 2
         gaps = np.maximum.accumulate(gaps + STEP * by_gap / n / np.sqrt(gap_sums))  # the thresholds stay in order
+        if 2 * turn >= rounds:
+            mean += weights * 2 / rounds
+            mean_gaps += gaps * 2 / rounds
     full = np.zeros(DIMENSIONS)
-    full[used] = weights
-    return Model(full, gaps)
+    full[used] = mean
+    return Model(full, mean_gaps)
 
 
 def graded(quality: str = "quality", toxic: str = "toxic") -> Column:
