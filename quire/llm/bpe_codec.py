@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from quire.llm import pretokens
 
 #: Distinct pre-tokens that a worker remembers; beyond it the memory starts anew.
-REMEMBERED = 800_000
+REMEMBERED = 400_000
 #: Pre-tokens handed to the library at a time.
 AT_ONCE = 4096
 
@@ -50,6 +50,25 @@ def ragged(values: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarr
     return values[np.arange(total) + np.repeat(begins - (stops - sizes), sizes)]
 
 
+class Pieces:
+    """The byte table reversed: the bytes of every id, one after another."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        by_id = {rank: token for token, rank in ranks.items()}
+        order = range(max(by_id, default=-1) + 1)
+        self.widths = np.array([len(by_id.get(k, b"")) for k in order], np.int64)
+        self.begins = np.cumsum(self.widths) - self.widths
+        self.bytes = np.frombuffer(b"".join(by_id.get(k, b"") for k in order), np.uint8)
+
+    def decode(self, ids: np.ndarray) -> bytes:
+        return ragged(self.bytes, self.begins[ids], self.begins[ids] + self.widths[ids]).tobytes()
+
+
+@lru_cache(maxsize=2)
+def pieces(path: str) -> Pieces:
+    return Pieces(read_ranks(path))
+
+
 class Codec:
     """The tokenizers model of a rank file, with a memory of pre-tokens already encoded."""
 
@@ -68,13 +87,7 @@ class Codec:
         ]
         self.model = Tokenizer(models.BPE(vocab={spelled[t]: r for t, r in ranks.items()}, merges=merges, ignore_merges=True))
         self.to_characters = table
-        # The table reversed: the bytes of every id, one after another.
-        back = {c: b for b, c in table.items()}
-        pieces = {token_id: bytes(map(back.__getitem__, piece)) for piece, token_id in self.model.get_vocab().items()}
-        order = range(max(pieces, default=-1) + 1)
-        self.widths = np.array([len(pieces.get(k, b"")) for k in order], np.int64)
-        self.begins = np.cumsum(self.widths) - self.widths
-        self.bytes = np.frombuffer(b"".join(pieces.get(k, b"") for k in order), np.uint8)
+        self.pieces = pieces(path)
         self.forget()
 
     def forget(self) -> None:
@@ -112,18 +125,18 @@ class Codec:
 
     def inside(self, ids: np.ndarray, text: bytes) -> int:
         """How many token boundaries lie inside a character: byte offsets against the byte-to-character map."""
-        ends = np.cumsum(self.widths[ids])[:-1]
+        ends = np.cumsum(self.pieces.widths[ids])[:-1]
         return int(((np.frombuffer(text, np.uint8)[ends] & 0xC0) == 0x80).sum()) if len(ends) else 0
 
     def offsets(self, ids: np.ndarray, text: bytes) -> tuple[np.ndarray, np.ndarray]:
         """Character offsets (first, one past the last) of each token, a split character being in each of its tokens."""
-        ends = np.cumsum(self.widths[ids])
+        ends = np.cumsum(self.pieces.widths[ids])
         heads = np.cumsum((np.frombuffer(text, np.uint8) & 0xC0) != 0x80)
-        begins = ends - self.widths[ids]
+        begins = ends - self.pieces.widths[ids]
         return heads[begins] - 1, heads[ends - 1]
 
     def decode(self, ids: np.ndarray) -> bytes:
-        return ragged(self.bytes, self.begins[ids], self.begins[ids] + self.widths[ids]).tobytes()
+        return self.pieces.decode(ids)
 
 
 @lru_cache(maxsize=2)
@@ -171,9 +184,9 @@ def decode(df: DataFrame, path: str, key: str = "doc_id", keep: tuple[str, ...]
     """Rows (key, ids, decoded, keep...): the bytes that the ids of ``encode`` stand for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = codec(path)
+        table = pieces(path)
         for batch in batches:
-            texts = [coder.decode(np.frombuffer(x.as_py() or b"", "<u4")) for x in batch.column(1)]
+            texts = [table.decode(np.frombuffer(x.as_py() or b"", "<u4")) for x in batch.column(1)]
             columns = [*batch.columns[:2], pa.array(texts, pa.binary()), *batch.columns[2:]]
             yield pa.RecordBatch.from_arrays(columns, names)
 
