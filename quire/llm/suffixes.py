@@ -42,6 +42,8 @@ from quire.llm.common import cut, partitions
 
 #: Bytes of an anchor.
 GRAM = 40
+#: Bits of an anchor's hash that are compared; the highest ones, above 32, are its range.
+HASH_BITS = 40
 #: Bits of the filter of repeated anchors: a broadcast of 16 MB whatever the input.
 FILTER_BITS = 27
 #: Suffixes, or bytes of text, in one sorted run at most; bytes hashed at a time.
@@ -124,7 +126,7 @@ def _documents(docs: DataFrame, key: str, text: str) -> DataFrame:
     )
 
 
-def _hash_pass(table: DataFrame, length: int, ranges: int) -> DataFrame:
+def _hash_pass(table: DataFrame, length: int) -> DataFrame:
     """Rows (part, once, again, gram): hashes of a block by range, and now and then an anchor's bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,11 +134,12 @@ def _hash_pass(table: DataFrame, length: int, ranges: int) -> DataFrame:
             for _, texts in _blocks(batch.column(0).to_pylist()):
                 raw, ends = _joined(texts)
                 _, _, _, anchor, hashes = anchors(raw, ends, length)
-                values, counts = np.unique(hashes >> np.uint64(16), return_counts=True)
+                values, counts = np.unique(hashes >> np.uint64(64 - HASH_BITS), return_counts=True)
                 rows = []
-                part = ((values * np.uint64(ranges)) >> np.uint64(48)).astype(np.int64)
-                edges = np.searchsorted(part, np.arange(ranges + 1))
-                for k in range(ranges):
+                part = (values >> np.uint64(32)).astype(np.int64)
+                values = values.astype(np.uint32)  # the range has the other bits
+                edges = np.searchsorted(part, np.arange((1 << HASH_BITS - 32) + 1))
+                for k in range(1 << HASH_BITS - 32):
                     if edges[k] < edges[k + 1]:
                         own, many = values[edges[k] : edges[k + 1]], counts[edges[k] : edges[k + 1]] > 1
                         rows.append((k, own[~many].tobytes(), own[many].tobytes(), None))
@@ -146,14 +149,15 @@ def _hash_pass(table: DataFrame, length: int, ranges: int) -> DataFrame:
     return table.select("raw").mapInArrow(run, "part int, once binary, again binary, gram binary")
 
 
-def _repeated(hashed: DataFrame, ranges: int) -> bytearray:
+def _repeated(hashed: DataFrame) -> bytearray:
     """The filter: a bit for each repeated hash, by its highest bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def packed(part: int, once: list[bytes], again: list[bytes]) -> tuple[int, bytes]:
-            values, counts = np.unique(np.frombuffer(b"".join(once), np.uint64), return_counts=True)
-            found = np.concatenate([values[counts > 1], np.intersect1d(values, np.frombuffer(b"".join(again), np.uint64)), np.frombuffer(b"".join(again), np.uint64)])
-            return part, np.unique(found >> np.uint64(48 - FILTER_BITS)).astype("<u4").tobytes()
+            values, counts = np.unique(np.frombuffer(b"".join(once), np.uint32), return_counts=True)
+            found = np.concatenate([values[counts > 1], np.frombuffer(b"".join(again), np.uint32)]).astype(np.uint64)
+            found |= np.uint64(part << 32)
+            return part, np.unique(found >> np.uint64(HASH_BITS - FILTER_BITS)).astype("<u4").tobytes()
 
         part, once, again, done = None, [], [], []
         for batch in batches:
@@ -349,16 +353,25 @@ def _run_pass(table: DataFrame, length: int, wanted, splitters) -> DataFrame:
 def _settle(group: list[tuple], length: int, found: dict) -> None:
     """Cover what, among suffixes of one anchor, starts earlier in another."""
     group.sort(key=lambda e: e[2])
+    whole: dict = {}
     seen: dict = {}
-    for right, left, (doc, body, p) in group:
-        spans = None
+    alike = all(e[0] == group[0][0] and e[1] == group[0][1] for e in group)
+    for right, left, where in group:
+        doc, body, p = where
+        known = whole.setdefault((right, left), where)
+        if known is not where:  # all strings here start earlier in the equal suffix
+            if known != where:
+                found.setdefault((doc, body), []).append((p - len(left), p + len(right)))
+            continue
+        if alike:
+            continue
+        spans: list[tuple[int, int]] = []
         for o in range(max(0, length - len(right)), len(left) + 1):
-            key = (o, left[len(left) - o :], right[: length - o])
-            first = seen.setdefault(key, (doc, body, p))
-            if first[0] != doc or first[1] != body or first[2] != p:
-                a, b = p - o, p - o + length
-                spans = found.setdefault((doc, body), []) if spans is None else spans
-                spans.append((a, b))
+            first = seen.setdefault((left[len(left) - o :], right[: length - o]), where)
+            if first is not where:
+                spans.append((p - o, p - o + length))
+        if spans:
+            found.setdefault((doc, body), []).extend(spans)
 
 
 def _merge_pass(pieces: DataFrame, length: int) -> DataFrame:
@@ -380,7 +393,13 @@ def _merge_pass(pieces: DataFrame, length: int) -> DataFrame:
 
         part, runs = None, []
         for batch in batches:
-            for k, piece in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            kinds = batch.column(0).to_pylist()
+            done = [k for k, kind in enumerate(kinds) if kind == 1]
+            if done:
+                yield batch.take(pa.array(done))
+            for kind, k, piece in zip(kinds, batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if kind == 1:
+                    continue
                 if k != part and part is not None:
                     yield _batch(merged(runs))
                     runs = []
@@ -404,13 +423,14 @@ def covered(docs: DataFrame, length: int = 100, key: str = "doc_id", text: str =
     if length < GRAM:
         raise ValueError(f"length must be at least {GRAM}")
     table = _documents(docs, key, text)
-    ranges = 2 * partitions(spark)
-    hashed = cut(_hash_pass(table, length, ranges))
-    wanted = spark.sparkContext.broadcast(bytes(_repeated(hashed, ranges)))
+    hashed = cut(_hash_pass(table, length))
+    wanted = spark.sparkContext.broadcast(bytes(_repeated(hashed)))
     splitters = spark.sparkContext.broadcast(_splitters(spark, hashed, 4 * partitions(spark)))
-    coded = cut(_run_pass(table.select("doc", "body", "raw"), length, wanted, splitters))
-    pieces = coded.where("kind = 0").select("part", "run").repartition("part").sortWithinPartitions("part")
-    found = _merge_pass(pieces, length).unionByName(coded.where("kind = 1"))
+    # Intervals that a run covers by itself go along with the pieces, so the runs are made once.
+    coded = _run_pass(table.select("doc", "body", "raw"), length, wanted, splitters)
+    spread = F.coalesce("part", F.pmod(F.xxhash64("doc", "body"), F.lit(4 * partitions(spark))).cast("int"))
+    pieces = coded.withColumn("part", spread).repartition("part").sortWithinPartitions("part", "kind")
+    found = _merge_pass(pieces, length)
     return cut(found.groupBy("doc", "body").agg(F.collect_list("run").alias("spans")))
 
 
