@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -340,6 +340,44 @@ def merged_cells(spark, sf_dir):
     return R.in_regions(cells, regions).select("sheet", "row", "col", "value", "r0", "c0")
 
 
+# The same over every row: a sheet for each supplier, a row for each of its orders; holes and gaps are those of the data.
+
+
+@query("""SELECT l_suppkey, island, min(l_orderkey) AS start, count(*) AS items FROM (SELECT *, sum(b) OVER (PARTITION BY l_suppkey ORDER BY l_orderkey) AS island FROM (
+SELECT *, CASE WHEN l_orderkey = lag(l_orderkey) OVER (PARTITION BY l_suppkey ORDER BY l_orderkey) + 1 THEN 0 ELSE 1 END AS b FROM
+(SELECT DISTINCT l_suppkey, l_orderkey FROM lineitem))) GROUP BY l_suppkey, island""")
+def list_runs_whole(spark, sf_dir):
+    rows = tables.table(spark, sf_dir, "lineitem").select("l_suppkey", "l_orderkey").distinct()
+    runs = R.islands(rows, ["l_suppkey"], "l_orderkey", F.col("l_orderkey"))
+    return runs.groupBy("l_suppkey", "island").agg(F.min("l_orderkey").alias("start"), F.count("*").alias("items"))
+
+
+_SHEETS = """SELECT l_suppkey AS sheet, dense_rank() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey) - 1 AS "row", CAST(l_linenumber AS BIGINT) AS col, value
+FROM (SELECT l_suppkey, l_orderkey, l_linenumber, min(l_shipdate::DATE::VARCHAR) AS value FROM lineitem GROUP BY ALL)"""
+
+
+def _sheets(spark, sf_dir):
+    cells = tables.table(spark, sf_dir, "lineitem").groupBy("l_suppkey", "l_orderkey", "l_linenumber").agg(F.min(F.date_format("l_shipdate", "yyyy-MM-dd")).alias("value"))
+    at = (F.dense_rank().over(Window.partitionBy("l_suppkey").orderBy("l_orderkey")) - 1).cast("long")
+    return cells.select(F.col("l_suppkey").alias("sheet"), at.alias("row"), F.col("l_linenumber").cast("long").alias("col"), "value")
+
+
+@query(f"""WITH cells AS ({_SHEETS}), box AS (SELECT sheet, min("row") AS r0, max("row") AS r1, min(col) AS c0, max(col) AS c1 FROM cells GROUP BY sheet),
+every AS (SELECT sheet, "row", unnest(range(c0, c1 + 1)) AS col FROM (SELECT sheet, unnest(range(r0, r1 + 1)) AS "row", c0, c1 FROM box))
+SELECT sheet, "row", col, coalesce(value, '') AS value FROM every LEFT JOIN cells USING (sheet, "row", col)""")
+def dense_sheets_whole(spark, sf_dir):
+    return R.dense_cells(_sheets(spark, sf_dir))
+
+
+@query(f"""WITH cells AS ({_SHEETS}), m AS (SELECT sheet, k * 7 AS r0, k * 7 + 2 AS r1, 2 AS c0, 4 AS c1 FROM (SELECT sheet, unnest(range(max("row") // 7 + 1)) AS k FROM cells GROUP BY sheet))
+SELECT cells.sheet, "row", col, value, r0, c0 FROM cells JOIN m ON cells.sheet = m.sheet AND "row" BETWEEN r0 AND r1 AND col BETWEEN c0 AND c1""")
+def merged_cells_whole(spark, sf_dir):
+    cells = _sheets(spark, sf_dir)
+    at = cells.groupBy("sheet").agg(F.max("row").alias("last")).select("sheet", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("last") / 7))).alias("k"))
+    regions = at.select("sheet", (F.col("k") * 7).alias("r0"), (F.col("k") * 7 + 2).alias("r1"), F.lit(2).cast("long").alias("c0"), F.lit(4).cast("long").alias("c1"))
+    return R.in_regions(cells, regions).select("sheet", "row", "col", "value", "r0", "c0")
+
+
 @query("SELECT CAST(g AS BIGINT) AS grid, CASE WHEN g = 0 THEN 1 ELSE 0 END AS for_header, CASE WHEN g = 0 THEN 0 ELSE 1 END AS for_data, CASE WHEN g = 0 THEN 1 ELSE 0 END AS header_rows FROM range(2) t(g)")
 def header_rows(spark, sf_dir):
     """One grid with labels over its columns and the same one without."""
