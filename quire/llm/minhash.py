@@ -231,7 +231,9 @@ def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int, key:
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows (key, n_shingles, component_id, kept), one per document."""
+    """Rows (key, n_shingles, component_id, kept), one per document; the bounds hold for 80 percent and above only."""
+    if percent < 80:
+        raise ValueError(f"percent has to be at least 80, as NEED and FAR are bounds for that: {percent}")
     table = cut(sketches(docs, width, key, text))
     classes = table.where("n > 0 AND key IS NOT NULL").groupBy("digest", "n", "sketch", "x", "y").agg(F.min("key").alias("rep"))
     classes = cut(classes)
