@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Folders of this driver's written tables, by the checkpoint folder that they are in.
+_FOLDERS: dict[str, str] = {}
+
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """One of the input tables, by whatever file system ``sf_dir`` names."""
@@ -29,6 +34,27 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def _removed(spark: SparkSession, folder: str) -> None:
+    """Delete what this driver has written, if its session still stands."""
+    try:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    except Exception:  # noqa: BLE001  the session has ended before
+        pass
+
+
+def written(df: DataFrame) -> DataFrame:
+    """The rows as a compressed table in the shared folder, read again; it goes when the driver ends."""
+    spark = df.sparkSession
+    base = checkpoint_dir(spark)
+    if base not in _FOLDERS:
+        _FOLDERS[base] = f"{base}/quire-{uuid.uuid4().hex}"
+        atexit.register(_removed, spark, _FOLDERS[base])
+    path = f"{_FOLDERS[base]}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
