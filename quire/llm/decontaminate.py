@@ -9,10 +9,12 @@ shingle).  All shingles of documents that some item has are found in one pass, b
 word by word.  Their counts order each window's shingles by rarity; containment of a whole window
 needs each of its shingles, so its rarest one is prefix enough.  A document's match of a window's
 prefix fixes where the window would begin (positional bound) and end (length bound), and the
-window is verified there against the document's other matches.
+window is verified there against the document's other matches, by a join on place and shingle, so
+no document's matches are gathered in one task.
 
-Null and empty texts have no words.  Documents are told apart by row, so null and repeated ids are
-separate rows.  Null item ids stand for the empty string in the digest; equal windows of several
+Null and empty texts have no words.  Documents are told apart by a hash of id and text, so null and
+repeated ids are separate rows, and rows that repeat both have the same result.  An empty table gives
+an empty result.  A very long text is one row while its words are taken, and is spread out after.  Null item ids stand for the empty string in the digest; equal windows of several
 items count for each.  Only the id and text columns are read.
 """
 
@@ -55,7 +57,10 @@ def _small(df: DataFrame, rows: int) -> DataFrame:
 
 
 def find(docs: DataFrame, items: DataFrame, width: int = 13, key: str = "doc_id", item: str = "item_id", text: str = "text") -> DataFrame:
-    """Rows (key, n_words, n_hit, item_ids): words in occurring windows and the sorted items they are of."""
+    """Rows (key, row, n_words, n_hit, item_ids): words in occurring windows and the sorted items they are of.
+
+    ``row`` is xxhash64 of id and text: rows that repeat both have the same result.
+    """
     # Windows, each distinct sequence once, with their items.
     asked = items.select(F.coalesce(F.col(item).cast("string"), F.lit("")).alias("item"), words(F.col(text)).alias("w")).where(F.size("w") > 0)
     begins = F.sequence(F.lit(1), F.greatest(F.size("w") - (width - 1), F.lit(1)))
@@ -74,7 +79,7 @@ def find(docs: DataFrame, items: DataFrame, width: int = 13, key: str = "doc_id"
     mark = mark.withColumn("sid", F.xxhash64("a", "b", "c"))
     totals = placed.agg(F.count("*").alias("rows"), F.bool_or(F.col("n") == 1).alias("one"), F.bool_or(F.col("n") == 2).alias("two")).first()
 
-    table = docs.select(F.col(key).alias("key"), F.monotonically_increasing_id().alias("row"), words(F.col(text)).alias("w"))
+    table = docs.select(F.col(key).alias("key"), F.xxhash64(key, text).alias("row"), words(F.col(text)).alias("w"))
     sizes = [3, *([1] if totals["one"] else []), *([2] if totals["two"] else [])]
     first = F.array(F.struct(F.lit("\n").alias("a"), F.lit(None).cast("string").alias("b"), F.lit(None).cast("string").alias("c")))
     every = None
@@ -112,38 +117,25 @@ def find(docs: DataFrame, items: DataFrame, width: int = 13, key: str = "doc_id"
         .select("row", (F.col("pos") - F.col("off")).alias("first"), "window", "n")
         .where("first >= 0")
     )
-    # Verify: the document's matches at those places must be the window's shingles in order.
-    held = candidates.groupBy("row").agg(F.collect_set(F.struct("first", "n", "window")).alias("asked"))
-    needs = windows.select("window", "items", F.transform(lists, lambda s: F.xxhash64(s["a"], s["b"], s["c"])).alias("sids"))
-    long = found.join(held.select("row"), "row", "left_semi")
-    own = long.groupBy("row").agg(F.array_sort(F.collect_set(F.struct("pos", "sid"))).alias("m"))
-    checked = (
-        held.join(own, "row").select("row", "m", F.explode("asked").alias("q")).select("row", "m", "q.*")
-        .join(_small(needs, totals["rows"]), "window")
-        .where(_holds())
-        .select("row", "first", (F.col("first") + F.col("n")).alias("past"), "items")
-    )
-    union = F.aggregate(
-        F.array_sort(F.collect_set(F.struct("first", "past"))),
-        F.struct(F.lit(0).alias("covered"), F.lit(0).alias("upto")),
-        lambda s, x: F.struct(
-            (s["covered"] + F.greatest(F.lit(0), x["past"] - F.greatest(x["first"], s["upto"]))).alias("covered"),
-            F.greatest(s["upto"], x["past"]).alias("upto"),
-        ),
-        lambda s: s["covered"].cast("long"),
-    )
-    hits = checked.groupBy("row").agg(union.alias("n_hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("item_ids"))
+    # Verify: every shingle of the window has to be among the document's matches in its place.
+    asked = candidates.join(_small(placed.select("window", "off", "sid"), totals["rows"]), "window")
+    asked = asked.select("row", "window", "n", "first", (F.col("first") + F.col("off")).alias("pos"), "sid").distinct()
+    there = asked.join(found, ["row", "pos", "sid"], "left_semi").groupBy("row", "window", "n", "first").count()
+    checked = cut(there.where(F.col("count") == F.greatest(F.col("n") - 2, F.lit(1))).select("row", "window", "n", "first"))
+    covered = checked.select("row", F.explode(F.sequence("first", F.col("first") + F.col("n") - 1)).alias("p")).distinct().groupBy("row").agg(F.count("*").alias("n_hit"))
+    named = checked.select("row", "window").distinct().join(_small(windows.select("window", "items"), totals["rows"]), "window")
+    named = named.select("row", F.explode("items").alias("item")).distinct().groupBy("row").agg(F.sort_array(F.collect_list("item")).alias("item_ids"))
+    hits = covered.join(named, "row")
     return (
         matches.where("pos < 0").select("key", "row", F.col("n_words").cast("long").alias("n_words"))
         .join(hits, "row", "left")
-        .select(F.col("key").alias(key), "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"))
+        .select(F.col("key").alias(key), "row", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"))
     )
 
 
-def _holds() -> Column:
-    """Whether m, the sorted (pos, sid) pairs of a document, has every shingle of the window in its place."""
-    wanted = F.transform("sids", lambda s, k: F.struct((F.col("first") + k).alias("pos"), s.alias("sid")))
-    return F.size(F.array_except(wanted, F.col("m"))) == 0
+def contaminated() -> Column:
+    """Whether hit words are a twentieth of all, or more."""
+    return (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))
 
 
 def digests(found: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -153,5 +145,5 @@ def digests(found: DataFrame, key: str = "doc_id") -> DataFrame:
         "n_hit",
         F.size("item_ids").cast("long").alias("n_items"),
         F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"),
-        ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"),
+        contaminated().alias("contaminated"),
     )

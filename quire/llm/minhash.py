@@ -44,7 +44,7 @@ BUCKETS, BITS = 1 << 18, 1 << 23
 #: Bits in which the 128-bit marks of similar sets may differ.
 FAR = 40
 #: Words whose hash a worker remembers.
-REMEMBERED = 800_000
+REMEMBERED = 200_000
 #: Rounds that compare with one member of each list before all remaining pairs are compared.
 STAR_ROUNDS = 4
 #: Pairs still apart, by rows of the lists, that the last round takes on.
@@ -96,7 +96,7 @@ def mark(hashes: np.ndarray) -> tuple[int, int]:
 
 
 def sketches(docs: DataFrame, width: int, key: str, text: str) -> DataFrame:
-    """Rows (key, n, digest, sketch, x, y): size, digest, k smallest hashes and mark of each set."""
+    """Rows (key, body, n, digest, sketch, x, y): hash of the text; size, digest, k smallest hashes and mark of each set."""
     import hashlib
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,19 +106,20 @@ def sketches(docs: DataFrame, width: int, key: str, text: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
+                    batch.column(2),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()),
                     pa.array([s[:K] for s in sets], pa.list_(pa.int64())),
                     *(pa.array([m[k] for m in map(mark, sets)], pa.int64()) for k in (0, 1)),
                 ],
-                ["key", "n", "digest", "sketch", "x", "y"],
+                ["key", "body", "n", "digest", "sketch", "x", "y"],
             )
 
     schema = T.StructType(
-        [T.StructField("key", docs.schema[key].dataType), T.StructField("n", T.LongType()), T.StructField("digest", T.BinaryType()), T.StructField("sketch", T.ArrayType(T.LongType()))]
+        [T.StructField("key", docs.schema[key].dataType), T.StructField("body", T.LongType()), T.StructField("n", T.LongType()), T.StructField("digest", T.BinaryType()), T.StructField("sketch", T.ArrayType(T.LongType()))]
         + [T.StructField(c, T.LongType()) for c in "xy"]
     )
-    return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.xxhash64(text).alias("body")).mapInArrow(run, schema)
 
 
 def needed(n: np.ndarray, percent: int) -> np.ndarray:
@@ -231,7 +232,10 @@ def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int, key:
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows (key, n_shingles, component_id, kept), one per document; the bounds hold for 80 percent and above only."""
+    """Rows (key, body, n_shingles, component_id, kept), one per document; the bounds hold for 80 percent and above only.
+
+    ``body`` is xxhash64 of the text, which tells rows of one id apart.
+    """
     if percent < 80:
         raise ValueError(f"percent has to be at least 80, as NEED and FAR are bounds for that: {percent}")
     table = cut(sketches(docs, width, key, text))
@@ -270,9 +274,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, key: str
     else:
         reps = reps.select("digest", "n", F.col("rep").alias("component"))
     # Rows that repeat an id share its smallest component.
-    named = table.select("key", "n", "digest").join(reps, ["digest", "n"], "left")
+    named = table.select("key", "body", "n", "digest").join(reps, ["digest", "n"], "left")
     return named.select(
         F.col("key").alias(key),
+        "body",
         F.col("n").alias("n_shingles"),
         F.when(F.col("key").isNotNull(), F.coalesce("component", "key")).alias("component_id"),
         F.coalesce(F.col("key") == F.coalesce("component", "key"), F.lit(True)).alias("kept"),

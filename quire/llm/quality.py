@@ -11,7 +11,9 @@ and a few bands of style: share of capitals, exclamation marks, bars, symbols, r
 
 Null and empty texts have only the style features.  Labels with a null are not used; without
 usable labels of at least two grades there is no model, every probability is null and every
-document is accepted.  Repeated rows are scored row by row.
+document is accepted.  Repeated rows are scored row by row, an empty table gives an empty result,
+and columns to keep may have any names but those of the result.  Very long texts cost time and, in
+a worker, memory in proportion to their length.
 """
 
 from __future__ import annotations
@@ -85,12 +87,17 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, grades_in_all: int, rounds:
     ``lasso`` keeps those at 0 that say little.
     """
     sizes = np.array([len(r) for r in rows])
-    flat = np.concatenate(rows)
-    owner = np.repeat(np.arange(len(rows)), sizes)
+    flat = np.concatenate(rows).astype(np.int32)
     spread = np.bincount(flat, minlength=DIMENSIONS)
-    use = ((spread >= least) & (spread <= most * len(rows)))[flat]
-    used, flat = np.unique(flat[use], return_inverse=True)
-    owner = owner[use]
+    chosen = (spread >= least) & (spread <= most * len(rows))
+    used = np.flatnonzero(chosen)
+    place = np.cumsum(chosen, dtype=np.int32) - 1
+    use = chosen[flat]
+    owner = np.repeat(np.arange(len(rows), dtype=np.int32), sizes)[use]
+    flat = place[flat[use]]
+    del use
+    # Temporaries are made for so many entries at once.
+    parts = [slice(a, a + (1 << 18)) for a in range(0, len(flat), 1 << 18)]
     n, k = len(rows), grades_in_all - 1
     weights = np.zeros(len(used))
     # The thresholds begin where the grades' shares put them.
@@ -99,17 +106,13 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, grades_in_all: int, rounds:
     sums, gap_sums = np.full(len(used), 1e-8), np.full(k, 1e-8)
     mean, mean_gaps = np.zeros(len(used)), np.zeros(k)
     for turn in range(rounds):
-        scores = np.bincount(owner, weights=weights[flat], minlength=n)
-        tails = 1 / (1 + np.exp(-np.clip(scores[:, None] - gaps[None, :], -40, 40)))
-        # P(grade) is a difference of neighbouring tails; its logarithm's derivative by the two ends.
-        ends = np.hstack([np.ones((n, 1)), tails, np.zeros((n, 1))])
-        high, low = ends[np.arange(n), grades], ends[np.arange(n), grades + 1]
-        chance = np.maximum(high - low, 1e-9)
-        d_high, d_low = high * (1 - high) / chance, low * (1 - low) / chance
-        by_gap = np.zeros(k)
-        np.add.at(by_gap, np.maximum(grades - 1, 0), np.where(grades > 0, -d_high, 0))
-        np.add.at(by_gap, np.minimum(grades, k - 1), np.where(grades < k, d_low, 0))
-        slope = np.bincount(flat, weights=(d_high - d_low)[owner], minlength=len(used)) / n
+        scores, slope = np.zeros(n), np.zeros(len(used))
+        for part in parts:
+            scores += np.bincount(owner[part], weights=weights[flat[part]], minlength=n)
+        d_score, by_gap = slopes(scores, gaps, grades)
+        for part in parts:
+            slope += np.bincount(flat[part], weights=d_score[owner[part]], minlength=len(used))
+        slope /= n
         sums += slope * slope
         pace = STEP / np.sqrt(sums)
         moved = weights + pace * slope
@@ -124,14 +127,32 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, grades_in_all: int, rounds:
     return Model(full, mean_gaps)
 
 
+def slopes(scores: np.ndarray, gaps: np.ndarray, grades: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Derivatives of the log-likelihood by each row's score and by each threshold."""
+    n, k = len(scores), len(gaps)
+    tails = 1 / (1 + np.exp(-np.clip(scores[:, None] - gaps[None, :], -40, 40)))
+    # P(grade) is a difference of neighbouring tails; its logarithm's derivative by the two ends.
+    ends = np.hstack([np.ones((n, 1)), tails, np.zeros((n, 1))])
+    high, low = ends[np.arange(n), grades], ends[np.arange(n), grades + 1]
+    chance = np.maximum(high - low, 1e-9)
+    d_high, d_low = high * (1 - high) / chance, low * (1 - low) / chance
+    by_gap = np.zeros(k)
+    np.add.at(by_gap, np.maximum(grades - 1, 0), np.where(grades > 0, -d_high, 0))
+    np.add.at(by_gap, np.minimum(grades, k - 1), np.where(grades < k, d_low, 0))
+    return d_high - d_low, by_gap
+
+
 def graded(quality: str = "quality", toxic: str = "toxic") -> Column:
     """The default rating: 0 toxic, 1 low quality, 2 good; null if a label is null."""
     q, t = F.col(quality), F.col(toxic)
     return F.when(q.isNull() | t.isNull(), None).when(t > 0, 0).when(q <= 0, 1).otherwise(2)
 
 
-def train(docs: DataFrame, labels: DataFrame, grade: Column, grades_in_all: int = 3, sample: int = 6000, key: str = "doc_id", text: str = "text") -> Model | None:
-    """Fit on at most ``sample`` labelled rows."""
+def train(docs: DataFrame, labels: DataFrame, grade: Column, grades_in_all: int = 3, sample: int = 6000, slots: int = 8_000_000, key: str = "doc_id", text: str = "text") -> Model | None:
+    """Fit on at most ``sample`` labelled rows, and in their order only as many as have ``slots`` features in all.
+
+    Both are bounds on what one task holds.  The fit runs in that task; the driver gets the weights.
+    """
     drawn = (
         labels.select(F.col(key).alias("key"), grade.alias("grade"))
         .where("key IS NOT NULL AND grade IS NOT NULL")
@@ -141,27 +162,41 @@ def train(docs: DataFrame, labels: DataFrame, grade: Column, grades_in_all: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            slots = [sorted({slot(f) for f in features(t.as_py())}) for t in batch.column(2)]
-            packed = pa.array([np.array(s, "<u4").tobytes() for s in slots], pa.binary())
+            found = [sorted({slot(f) for f in features(t.as_py())}) for t in batch.column(2)]
+            packed = pa.array([np.array(s, "<u4").tobytes() for s in found], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), packed], ["key", "grade", "slots"])
 
+    def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, grades, held = [], [], 0
+        for batch in batches:
+            for g, packed in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                row = np.frombuffer(packed.as_py(), "<u4")
+                held += len(row)
+                if held <= slots:
+                    rows.append(row)
+                    grades.append(g)
+        if len(set(grades)) >= 2:
+            model = fit(rows, np.array(grades, np.int64), grades_in_all)
+            arrays = [pa.array([x.tobytes()], pa.binary()) for x in (model.weights.astype(np.float32), model.thresholds)]
+            yield pa.RecordBatch.from_arrays(arrays, ["weights", "thresholds"])
+
     # At most `sample` pairs of id and grade: a bound that does not grow with the data.
     joined = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(F.broadcast(drawn), "key").select("key", "grade", "text")
     schema = T.StructType([joined.schema["key"], T.StructField("grade", T.IntegerType()), T.StructField("slots", T.BinaryType())])
-    rows = joined.mapInArrow(run, schema).orderBy("key", "grade", "slots").limit(sample).collect()
-    grades = np.array([r["grade"] for r in rows], np.int64)
-    if len(set(grades.tolist())) < 2:
-        return None
-    return fit([np.frombuffer(r["slots"], "<u4").astype(np.int64) for r in rows], grades, grades_in_all)
+    rows = joined.mapInArrow(run, schema).orderBy(F.xxhash64(F.col("key").cast("string")), "key", "grade", "slots").limit(sample)
+    model = rows.select("grade", "slots").coalesce(1).mapInArrow(fitted, "weights binary, thresholds binary").first()
+    return model and Model(np.frombuffer(model["weights"], np.float32), np.frombuffer(model["thresholds"], np.float64))
 
 
 def score(docs: DataFrame, model: Model | None, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """Rows (key, keep..., expected_grade, tails): the expected grade and P(grade >= 1), P(grade >= 2), ..."""
+    if {"expected_grade", "tails"} & {key, *keep}:
+        raise ValueError("expected_grade and tails are columns of the result; rename those to keep")
     fields = [docs.schema[c] for c in (key, *keep)]
     added = [T.StructField("expected_grade", T.DoubleType()), T.StructField("tails", T.ArrayType(T.DoubleType()))]
     if model is None:
         return docs.select(key, *keep, F.lit(None).cast("double").alias("expected_grade"), F.lit(None).cast("array<double>").alias("tails"))
-    shared = docs.sparkSession.sparkContext.broadcast((model.weights.astype(np.float32), model.thresholds))  # of fixed size
+    shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.thresholds))  # of fixed size
     names = [f.name for f in (*fields, *added)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -18,7 +18,7 @@ def op1_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(read(spark, sf_dir, "documents"), width=2)
+    return minhash.near_duplicates(read(spark, sf_dir, "documents"), width=2).drop("body")
 
 
 def op3_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:

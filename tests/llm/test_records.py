@@ -102,3 +102,40 @@ def test_quality_edge_cases(spark):
     both = spark.createDataFrame([(1, 1, 0), (3, 0, 0), (3, 0, 0)], "doc_id long, quality int, toxic int")
     scored = quality.score(docs, quality.train(docs, both, quality.graded())).collect()
     assert len(scored) == 4 and all(0 <= r["tails"][1] <= r["tails"][0] <= 1 for r in scored)
+
+
+def test_fit_reaches_the_optimum():
+    """Against plain proximal gradient steps on dense features, run until they stand still."""
+    rng = np.random.default_rng(3)
+    x = rng.random((300, 12)) < 0.25
+    true = rng.normal(size=12) * 2
+    noisy = x @ true + rng.logistic(size=300)
+    grades = (noisy > np.quantile(noisy, 0.3)).astype(int) + (noisy > np.quantile(noisy, 0.7))
+    lasso = 1e-3
+    fitted = quality.fit([np.flatnonzero(r).astype(np.uint32) for r in x], grades, 3, rounds=3000, lasso=lasso, most=1.0)
+
+    def objective(w, gaps):
+        tails = quality.Model(w, gaps).tails(x @ w)
+        ends = np.hstack([np.ones((300, 1)), tails, np.zeros((300, 1))])
+        return np.log(ends[np.arange(300), grades] - ends[np.arange(300), grades + 1]).mean() - lasso * np.abs(w).sum()
+
+    w, gaps = np.zeros(12), np.array([-1.0, 1.0])
+    for _ in range(20_000):
+        by_score, by_gap = quality.slopes(x @ w, gaps, grades)
+        w = w + 0.2 * (x.T @ by_score) / 300
+        w = np.sign(w) * np.maximum(np.abs(w) - 0.2 * lasso, 0)
+        gaps = gaps + 0.2 * by_gap / 300
+    step = 1e-5
+    for k in range(2):  # the derivatives are those of the objective
+        moved = gaps + step * (np.arange(2) == k)
+        assert abs((objective(w, moved) - objective(w, gaps)) / step - quality.slopes(x @ w, gaps, grades)[1][k] / 300) < 1e-3
+    assert objective(fitted.weights[:12], fitted.thresholds) > objective(w, gaps) - 1e-3
+
+
+def test_fit_is_bounded(spark):
+    docs = spark.createDataFrame([(k, f"{'good' if k % 2 else 'bad'} w{k}") for k in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(40)], "doc_id long, quality int, toxic int")
+    assert quality.train(docs, labels, quality.graded(), slots=1) is None
+    assert quality.train(docs, labels, quality.graded()) is not None
+    assert quality.train(docs.limit(0), labels, quality.graded()) is None
+    assert quality.score(docs.limit(0), None).collect() == []
