@@ -16,8 +16,9 @@ so the join of a list with itself drops most pairs of strangers before it return
 
 Equal sets are one class from the start.  In a list, only pairs of different components are ever
 compared: a first round compares all with one member, and so do others while many pairs are left;
-the last one compares all pairs that are still apart.  So a group of a thousand copies costs about
-a thousand comparisons, and no link between components is lost.
+the last one compares all that are still apart, by exact overlaps, in blocks of full sets.  So a
+group of a thousand copies costs about a thousand comparisons, and no link between components is
+lost.
 
 Null and empty texts, or texts without words, have an empty set and link with nothing.  Rows with a
 null id are returned, without links and with a null component.  Rows that repeat an id share its
@@ -33,8 +34,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from quire.llm.common import cut
+from quire.llm.common import cut, partitions
 from quire.llm.components import components
 
 #: Values in a sketch, and how many of them similar sets share at least.
@@ -45,8 +47,10 @@ BUCKETS, BITS = 1 << 18, 1 << 23
 FAR = 40
 #: Words whose hash a worker remembers.
 REMEMBERED = 200_000
+#: Sets and values in a block of a bundle, and elements whose overlaps are counted at a time.
+BLOCK, BLOCK_VALUES, STRIPE = 256, 1 << 19, 4096
 #: Rounds that compare with one member of each list before all remaining pairs are compared.
-STAR_ROUNDS = 4
+STAR_ROUNDS = 2
 #: Pairs still apart, by rows of the lists, that the last round takes on.
 AT_ONCE = 50
 
@@ -195,13 +199,12 @@ def _likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return seen.where(F.col("common") * K >= NEED * F.col("size")).select("a", "b").distinct()
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int, key: str, text: str) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar, computed from the whole texts."""
-    spark = docs.sparkSession
-    wanted = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
+def _sets(docs: DataFrame, wanted: DataFrame, width: int, key: str, text: str) -> DataFrame:
+    """Rows (key, set): the full sets, as bytes, of the documents with a ``key`` in ``wanted``, computed from the whole texts."""
+    wanted = wanted.select("key").distinct()
     # A filter of fixed size keeps most other documents out of the shuffle; the join decides.
     bit = F.pmod(F.xxhash64("key"), F.lit(BITS))
-    shared = spark.sparkContext.broadcast(_filter(wanted.select(bit.alias("bit")), "bit", BITS))
+    shared = docs.sparkSession.sparkContext.broadcast(_filter(wanted.select(bit.alias("bit")), "bit", BITS))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filter_, shingle = shared.value, Shingler(width)
@@ -213,6 +216,15 @@ def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int, key:
                 part = some.slice(k, 500)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingle(t.as_py()).tobytes() for t in part.column(1)], pa.binary())], ["key", "set"])
 
+    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).where("key IS NOT NULL").withColumn("bit", bit)
+    full = rows.mapInArrow(sets, T.StructType([T.StructField("key", docs.schema[key].dataType), T.StructField("set", T.BinaryType())]))
+    return full.join(wanted, "key", "left_semi")
+
+
+def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int, key: str, text: str) -> DataFrame:
+    """The pairs (a, b) whose full sets are similar."""
+    full = _sets(docs, pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))), width, key, text)
+
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
@@ -224,13 +236,72 @@ def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int, key:
             yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
     kind = docs.schema[key].dataType
-    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).where("key IS NOT NULL").withColumn("bit", bit)
-    full = rows.mapInArrow(sets, T.StructType([T.StructField("key", kind), T.StructField("set", T.BinaryType())]))
-    full = full.join(wanted, "key", "left_semi")
     both = pairs.join(full.withColumnsRenamed({"key": "a", "set": "s"}), "a").join(full.withColumnsRenamed({"key": "b", "set": "t"}), "b")
     return both.select("a", "b", "s", "t").mapInArrow(check, T.StructType([T.StructField("a", kind), T.StructField("b", kind)])).distinct()
 
 
+def _overlaps(sets: list[np.ndarray], others: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of each set with each of the others; elements of one set only are left out first."""
+    every = [*sets, *others]
+    owner = np.repeat(np.arange(len(every)), [len(s) for s in every])
+    _, at, count = np.unique(np.concatenate(every), return_inverse=True, return_counts=True)
+    use = count[at] > 1
+    owner, at = owner[use], (np.cumsum(count > 1) - 1)[at[use]]
+    order = np.argsort(at, kind="stable")
+    owner, at = owner[order], at[order]
+    common = np.zeros((len(sets), len(others)), np.float32)
+    edges = np.searchsorted(at, np.arange(0, int(at[-1]) + 1 + STRIPE, STRIPE)) if len(at) else []
+    for k, (low, high) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+        held = np.zeros((len(every), STRIPE), np.float32)
+        held[owner[low:high], at[low:high] - k * STRIPE] = 1
+        common += held[: len(sets)] @ held[len(sets) :].T
+    return common
+
+
+def compared(rest: DataFrame, docs: DataFrame, width: int, percent: int, key: str, text: str) -> DataFrame:
+    """The similar pairs (a, b) of different components among all that share a list in ``rest``.
+
+    Lists with the same smallest member are taken together.  Each such bundle is dealt to blocks of
+    bounded size, and a task compares two blocks; a full set is shipped once for each block of its
+    bundle, not for each pair.
+    """
+    kind = docs.schema[key].dataType
+    heads = rest.groupBy("value").agg(F.min("rep").alias("head"))
+    bundles = cut(rest.join(heads, "value").select("head", "rep", "component", "n").distinct())
+    size = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_VALUES)).cast("int")
+    blocks = bundles.groupBy("head").agg(size.alias("blocks"), F.count_distinct("component").alias("parts")).where("parts > 1").select("head", "blocks")
+    members = bundles.join(blocks, "head").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    full = _sets(docs, members.select(F.col("rep").alias("key")), width, key, text)
+    rows = members.join(full.withColumnRenamed("key", "rep"), "rep")
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
+    rows = rows.select("head", "i", "j", "block", "rep", "component", "set")
+    # By number, so that small partitions of much work are not put together.
+    rows = rows.repartition(partitions(docs.sparkSession), "head", "i", "j").sortWithinPartitions("head", "i", "j")
+
+    def pairs(group: list[tuple]) -> pa.RecordBatch:
+        i, j = group[0][1], group[0][2]
+        ones, twos = [g for g in group if g[3] == i], [g for g in group if g[3] == j]
+        sets, others = ([np.frombuffer(g[6], np.int64) for g in side] for side in (ones, twos))
+        sizes = np.array([len(s) for s in sets])[:, None] + np.array([len(s) for s in others])[None, :]
+        common = _overlaps(sets, others).astype(np.int64)
+        x, y = np.nonzero((common > 0) & (100 * common >= percent * (sizes - common)))
+        found = {(min(ones[p][4], twos[q][4]), max(ones[p][4], twos[q][4])) for p, q in zip(x.tolist(), y.tolist(), strict=True) if ones[p][5] != twos[q][5]}
+        return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], to_arrow_type(kind)) for k in (0, 1)], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group: list[tuple] = []
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if group and group[0][:3] != row[:3]:
+                    yield pairs(group)
+                    group = []
+                group.append(row)
+        if group:
+            yield pairs(group)
+
+    return rows.mapInArrow(run, T.StructType([T.StructField("a", kind), T.StructField("b", kind)])).distinct()
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows (key, body, n_shingles, component_id, kept), one per document; the bounds hold for 80 percent and above only.
 
@@ -253,16 +324,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, key: str
         last = turn > 0 and (total["apart"] <= AT_ONCE * total["rows"] or turn == STAR_ROUNDS)
         rest = named.join(open_.select("value"), "value", "left_semi")
         if last:
-            other = rest.select("value", F.col("rep").alias("b"), F.col("n").alias("m"), F.col("component").alias("c"), F.col("x").alias("v"), F.col("y").alias("w"))
-            pairs = rest.join(other, "value").where((F.col("component") < F.col("c")) & _near_enough(percent))
-            pairs = pairs.select(F.least("rep", "b").alias("a"), F.greatest("rep", "b").alias("b"))
+            found = cut(compared(rest, docs, width, percent, key, text))
         else:
             order = F.col("rep") if turn == 0 else F.xxhash64("rep", F.lit(turn))
             heads = rest.groupBy("value").agg(F.min(F.struct(order.alias("o"), F.col("rep").alias("b"), F.col("n").alias("m"), F.col("component").alias("c"), F.col("x").alias("v"), F.col("y").alias("w"))).alias("head")).select("value", "head.*")
             pairs = rest.join(heads, "value").where((F.col("component") != F.col("c")) & _near_enough(percent))
             pairs = pairs.select(F.least("rep", "b").alias("a"), F.greatest("rep", "b").alias("b"))
-        likely = cut(_likely(pairs.distinct(), classes))
-        found = cut(confirmed(likely, docs, width, percent, key, text))
+            found = cut(confirmed(cut(_likely(pairs.distinct(), classes)), docs, width, percent, key, text))
         links = found if links is None else links.unionByName(found)
         groups = components(links).select(F.col("node").alias("rep"), F.col("component").alias("merged"))
         if last:

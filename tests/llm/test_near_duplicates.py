@@ -109,3 +109,23 @@ def test_more_vectors_more_projections():
     assert shapes == sorted(shapes)
     for per_table, tables in shapes:
         assert (1 - embedding.collision(0.2) ** per_table) ** tables <= embedding.MISS * 1.001
+
+
+def test_bundles_of_many_blocks(spark, monkeypatch):
+    """Members too far apart for one star, in blocks of four sets."""
+    rng = random.Random(8)
+    base = [f"w{k}" for k in range(120)]
+    rows = []
+    for k in range(40):
+        copy = list(base)
+        for at in range(3 * (k % 10), 3 * (k % 10) + 9):
+            copy[at] = f"x{k % 20}-{at}"
+        rng.random() < 0.3 and copy.append("end")
+        rows.append((k, " ".join(copy)))
+    sets, groups = brute(rows, 2, 80)
+    monkeypatch.setattr(minhash, "BLOCK", 4)
+    monkeypatch.setattr(minhash, "STAR_ROUNDS", 1)
+    monkeypatch.setattr(minhash, "STRIPE", 16)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(df, width=2).collect()} == groups
+    assert (minhash._overlaps([np.array([1, 2, 3])], [np.array([2, 3, 4]), np.array([], np.int64)]) == [[2, 0]]).all()
