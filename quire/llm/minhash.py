@@ -324,7 +324,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, key: str
         last = turn > 0 and (total["apart"] <= AT_ONCE * total["rows"] or turn == STAR_ROUNDS)
         rest = named.join(open_.select("value"), "value", "left_semi")
         if last:
-            found = cut(compared(rest, docs, width, percent, key, text))
+            # Only members that have another, of a different component, near them in the list.
+            other = rest.select("value", F.col("n").alias("m"), F.col("component").alias("c"), F.col("x").alias("v"), F.col("y").alias("w"))
+            one, two = rest.alias("one"), other.alias("two")
+            near = cut(one.join(two, (F.col("one.value") == F.col("two.value")) & (F.col("component") != F.col("c")) & _near_enough(percent), "left_semi"))
+            found = cut(compared(near, docs, width, percent, key, text))
         else:
             order = F.col("rep") if turn == 0 else F.xxhash64("rep", F.lit(turn))
             heads = rest.groupBy("value").agg(F.min(F.struct(order.alias("o"), F.col("rep").alias("b"), F.col("n").alias("m"), F.col("component").alias("c"), F.col("x").alias("v"), F.col("y").alias("w"))).alias("head")).select("value", "head.*")
