@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,9 +30,27 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return named
 
 
+#: Seconds between two releases at least.
+RELEASE_EVERY = 2.0
+_released = 0.0
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of steps that nothing refers to any more.
+
+    It learns of them from the driver's garbage collector, which may otherwise not run for long.
+    """
+    global _released
+    if time.monotonic() - _released >= RELEASE_EVERY:
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        _released = time.monotonic()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint; lost executors re-read it from shared storage."""
     checkpoint_dir(df.sparkSession)
+    release(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -309,9 +309,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, key: str
     """
     if percent < 80:
         raise ValueError(f"percent has to be at least 80, as NEED and FAR are bounds for that: {percent}")
-    table = cut(sketches(docs, width, key, text))
-    classes = table.where("n > 0 AND key IS NOT NULL").groupBy("digest", "n", "sketch", "x", "y").agg(F.min("key").alias("rep"))
+    wide = cut(sketches(docs, width, key, text))
+    table = cut(wide.select("key", "body", "n", "digest"))
+    classes = wide.where("n > 0 AND key IS NOT NULL").groupBy("digest", "n", "sketch", "x", "y").agg(F.min("key").alias("rep"))
     classes = cut(classes)
+    del wide
     lists = cut(postings(classes, percent))
     links, named = None, lists.withColumn("component", F.col("rep"))
     for turn in range(STAR_ROUNDS + 1):
