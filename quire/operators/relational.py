@@ -1,4 +1,4 @@
-"""The converters' small relational operations, on whole corpora."""
+"""The front ends' small relational operations, on whole corpora."""
 
 from __future__ import annotations
 

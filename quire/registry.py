@@ -1,6 +1,6 @@
-"""The converters, in the order in which they win ties, and the dispatcher.
+"""The front ends, in the order in which they win ties, and the dispatcher.
 
-A converter scores bytes (3 a strong text signature, 2 a content signature, 1 an extension, 0 no
+A front end scores bytes (3 a strong text signature, 2 a content signature, 1 an extension, 0 no
 claim) and converts them to Markdown.  The highest score wins, the first registered on a tie.
 """
 
@@ -21,7 +21,7 @@ Again = Callable[[bytes, str | None], str]
 
 
 @dataclass(frozen=True)
-class Converter:
+class FrontEnd:
     id: str
     sniff: Callable[[bytes, str, str | None], int]  # bytes, extension, kind of package
     convert: Callable[[bytes, str | None, Again | None], str]
@@ -107,31 +107,31 @@ def _document(parse: Callable) -> Callable:
 
 
 @lru_cache(maxsize=1)
-def converters() -> tuple[Converter, ...]:
+def front_ends() -> tuple[FrontEnd, ...]:
     from quire.formats import office
 
     text_like = ("pdf", "ole", "zip")
     return (
-        Converter("csv", lambda c, e, k: int(e in csv.EXTENSIONS), _document(csv.parse), text_like),
-        Converter("text", _sniff_text, lambda c, p, a: text.convert(c, p), text_like),
-        Converter("data", _sniff_data, lambda c, p, a: data.convert(c, p), (*text_like, "rtf")),
-        Converter("subtitle", _sniff_subtitle, _document(subtitle.parse), text_like),
-        Converter("html", _sniff_html, _convert_html, text_like),
-        Converter("email", _sniff_mail, lambda c, p, a: to_markdown(mail.parse(c, p)), text_like),
-        Converter("ipynb", lambda c, e, k: 3 if notebook.sniffs(c) else int(e in notebook.EXTENSIONS), _document(notebook.parse), text_like),
-        Converter("svg", lambda c, e, k: 3 if _is_svg(c) else int(e in svg.EXTENSIONS), _document(svg.parse), text_like),
-        Converter("docx", _by_package({"docx"}, set("docx docm dotx dotm".split())), _document(office.docx)),
-        Converter("xlsx", _by_package({"xlsx"}, set("xlsx xlsm xltx xltm".split())), _document(office.xlsx)),
-        Converter("pptx", _by_package({"pptx"}, set("pptx pptm ppsx ppsm potx potm".split())), _document(office.pptx)),
-        Converter("odf", lambda c, e, k: 2 if k in ("odt", "ods", "odp", "odg") or _flat_odf(c[:8192]) else int(e in office.ODF), _document(office.odf)),
-        Converter("epub", _by_package({"epub"}, {"epub", "ibooks"}), _document(office.epub)),
-        Converter("fb2", lambda c, e, k: 2 if re.search(rb"<FictionBook[\s>]", c[:4096]) else int(e == "fb2"), _document(office.fb2), text_like),
-        Converter("zip", lambda c, e, k: (2 if k is None else 0) if is_zip(c) else int(e in archive.EXTENSIONS), lambda c, p, a: archive.convert(c, a)),
+        FrontEnd("csv", lambda c, e, k: int(e in csv.EXTENSIONS), _document(csv.parse), text_like),
+        FrontEnd("text", _sniff_text, lambda c, p, a: text.convert(c, p), text_like),
+        FrontEnd("data", _sniff_data, lambda c, p, a: data.convert(c, p), (*text_like, "rtf")),
+        FrontEnd("subtitle", _sniff_subtitle, _document(subtitle.parse), text_like),
+        FrontEnd("html", _sniff_html, _convert_html, text_like),
+        FrontEnd("email", _sniff_mail, lambda c, p, a: to_markdown(mail.parse(c, p)), text_like),
+        FrontEnd("ipynb", lambda c, e, k: 3 if notebook.sniffs(c) else int(e in notebook.EXTENSIONS), _document(notebook.parse), text_like),
+        FrontEnd("svg", lambda c, e, k: 3 if _is_svg(c) else int(e in svg.EXTENSIONS), _document(svg.parse), text_like),
+        FrontEnd("docx", _by_package({"docx"}, set("docx docm dotx dotm".split())), _document(office.docx)),
+        FrontEnd("xlsx", _by_package({"xlsx"}, set("xlsx xlsm xltx xltm".split())), _document(office.xlsx)),
+        FrontEnd("pptx", _by_package({"pptx"}, set("pptx pptm ppsx ppsm potx potm".split())), _document(office.pptx)),
+        FrontEnd("odf", lambda c, e, k: 2 if k in ("odt", "ods", "odp", "odg") or _flat_odf(c[:8192]) else int(e in office.ODF), _document(office.odf)),
+        FrontEnd("epub", _by_package({"epub"}, {"epub", "ibooks"}), _document(office.epub)),
+        FrontEnd("fb2", lambda c, e, k: 2 if re.search(rb"<FictionBook[\s>]", c[:4096]) else int(e == "fb2"), _document(office.fb2), text_like),
+        FrontEnd("zip", lambda c, e, k: (2 if k is None else 0) if is_zip(c) else int(e in archive.EXTENSIONS), lambda c, p, a: archive.convert(c, a)),
     )
 
 
 def package_kind(content: bytes) -> str | None:
-    """Opened once for all converters that ask."""
+    """Opened once for all front ends that ask."""
     if not is_zip(content):
         return None
     try:
@@ -142,7 +142,7 @@ def package_kind(content: bytes) -> str | None:
 
 def scores(content: bytes, path: str | None, formats: tuple[str, ...] | None = None) -> list[tuple[str, int]]:
     ext, kind = extension(path), package_kind(content)
-    return [(c.id, int(c.sniff(content, ext, kind))) for c in converters() if formats is None or c.id in formats]
+    return [(c.id, int(c.sniff(content, ext, kind))) for c in front_ends() if formats is None or c.id in formats]
 
 
 def detect(content: bytes, path: str | None, formats: tuple[str, ...] | None = None) -> str | None:
@@ -155,9 +155,9 @@ def convert(content: bytes, path: str | None = None, formats: tuple[str, ...] |
     found = detect(content, path, formats)
     if found is None:
         raise unrecognized(path)
-    converter = next(c for c in converters() if c.id == found)
-    for name in converter.refuses:
+    chosen = next(c for c in front_ends() if c.id == found)
+    for name in chosen.refuses:
         magic = FOREIGN.get(name, RTF)
         if content.removeprefix(b"\xef\xbb\xbf").startswith(magic):
             raise unsupported(name)
-    return found, converter.convert(content, path, lambda inner, name: convert(inner, name, formats)[1])
+    return found, chosen.convert(content, path, lambda inner, name: convert(inner, name, formats)[1])

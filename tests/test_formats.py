@@ -18,8 +18,8 @@ def md(*blocks, notes=()):
 
 
 def test_csv():
-    quoted = b'name,desc,qty\n" padded ","comma, inside",3\nplain,"multi\nline",4\n'
-    assert to_markdown(csv.parse(quoted)) == "| name | desc | qty |\n| --- | --- | --- |\n| padded | comma, inside | 3 |\n| plain | multi line | 4 |\n"
+    quoted = b'city,motto,rank\n"  Oslo ","north, and cold",11\nLima,"two\nrows",7\n'
+    assert to_markdown(csv.parse(quoted)) == "| city | motto | rank |\n| --- | --- | --- |\n| Oslo | north, and cold | 11 |\n| Lima | two rows | 7 |\n"
     assert csv.sniff_delimiter('a;b;c\n"1,5";"2,5";x\n') == ";"
     assert list(csv.records('a,"b""c"d\r\n\r\nx,"y', ",")) == [["a", 'b"cd'], ["x", "y"]]
     assert list(csv.records("a,\n", ",")) == [["a", ""]]
@@ -52,22 +52,28 @@ def test_grid_takes_every_position_once():
 @pytest.mark.parametrize(
     ("text", "place", "wanted"),
     [
-        ("a*b*", Place(), "a\\*b*"),
-        ("snake_case_name", Place(), "snake_case_name"),
-        ("1. x", Place(line_start=True), "1\\. x"),
-        ("# x", Place(line_start=True), "\\# x"),
-        ("#x", Place(line_start=True), "#x"),
-        ("- x", Place(line_start=True), "\\- x"),
-        ("---", Place(line_start=True), "\\---"),
-        ("> x", Place(line_start=True), "\\> x"),
-        ("a|b", Place("cell"), "a\\|b"),
-        ("a|b", Place(), "a|b"),
-        ("<b> 1 < 2", Place(), "\\<b> 1 < 2"),
-        ("&amp; & &x", Place(), "&amp;amp; & &x"),
-        ("[x]", Place(), "\\[x]"),
-        ("[x]", Place(label=True), "\\[x\\]"),
-        ("wow!", Place(before_markup=True), "wow\\!"),
-        ("a\\b", Place(), "a\\\\b"),
+        ("5*6*7", Place(), "5\\*6*7"),
+        ("2 * 3", Place(), "2 * 3"),
+        ("two_part_key", Place(), "two_part_key"),
+        ("_lead_", Place(), "\\_lead_"),
+        ("42. answer", Place(line_start=True), "42\\. answer"),
+        ("42.answer", Place(line_start=True), "42.answer"),
+        ("### deep", Place(line_start=True), "\\### deep"),
+        ("#tag", Place(line_start=True), "#tag"),
+        ("+ more", Place(line_start=True), "\\+ more"),
+        ("text\n====", Place(), "text\n\\===="),
+        ("-----", Place(line_start=True), "\\-----"),
+        (">> said", Place(line_start=True), "\\>> said"),
+        ("left|right", Place("cell"), "left\\|right"),
+        ("left|right", Place(), "left|right"),
+        ("</em> 3 <4", Place(), "\\</em> 3 <4"),
+        ("&copy; R&D &;", Place(), "&amp;copy; R&D &;"),
+        ("see [note] [", Place(), "see \\[note] ["),
+        ("[note]", Place(label=True), "\\[note\\]"),
+        ("hey!", Place(before_markup=True), "hey\\!"),
+        ("~one~ `two", Place(), "\\~one~ `two"),
+        ("C:\\dir", Place(), "C:\\\\dir"),
+        ("plain`", Place(styled=True), "plain\\`"),
     ],
 )
 def test_escape(text, place, wanted):
@@ -117,7 +123,13 @@ def test_subtitles():
     assert cues(b"{0}{25}10 fps\n{50}{75}a|b\n") == [("00:00:05.000", "a b")]
     assert cues(b"[15][20]/a|b\n") == [("00:00:01.500", "a b")]
     assert cues(b"0:00:01.5,0:00:02.0\nx\n") == [("00:00:01.500", "x")]
-    assert cues(b"#timeres 10\n@15 @20 VL {c} x\n") == [("00:00:01.500", "VL x")] or cues(b"#timeres 10\n@15 @20 JC {c} x\n") == [("00:00:01.500", "x")]
+    assert cues(b"#timeres 10\n@15 @20 VL {c} x\n@25 @30 JC {c} y\n@35 @40 cc z\n@45 @50 vx w\n") == [("00:00:01.500", "x"), ("00:00:02.500", "y"), ("00:00:03.500", "z"), ("00:00:04.500", "vx w")]
+    assert cues(b"0:00:01.50 0:00:02.00 D one\\\n  two\\nthree\n") == [("00:00:01.500", "D onetwo three")]
+    assert cues(b"3\n01:02:03,045 --> 01:02:04,000 X1:5\nfirst\n4\n00:05.006 --> 00:06.000\nsecond &#x41;&bogus;\n") == [("01:02:03.045", "first"), ("00:00:05.006", "second A&bogus;")]
+    assert cues(b"WEBVTT x\nKind: y\n\nSTYLE\n::cue {}\n\nname\n00:01.000 --> 00:02.000\n<v Ann>hi</v>\n") == [("00:00:01.000", "hi")]
+    assert cues(b"[la:en]\n[-0:01.00]no\n[1:02:03.5]yes\n") == [("00:00:01.000", "no"), ("01:02:03.500", "yes")]
+    assert cues(b"<tt:tt xmlns='ttml'><tt:p begin='00:01:02.25'>a</tt:p><tt:p begin='x'>b</tt:p></tt:tt>") == []
+    assert cues(b"<tt xmlns='ttml'><p begin='00:01:02.25'>a</p><p begin='x'>b</p></tt>") == [("00:01:02.250", "a")]
     assert cues(b'<tt xmlns="x"><p begin="1.5s">a<br/>b</p></tt>') == [("00:00:01.500", "a b")]
 
 
@@ -138,6 +150,8 @@ def test_mail_and_notebook():
     assert to_markdown(mail.parse(box)) == "# 1\n\na\n\n---\n\n# 2\n\nFrom b\n"
     cells = b'{"nbformat":4,"cells":[{"cell_type":"markdown","source":["# T\\n","x `y`"]},{"cell_type":"code","source":"1","outputs":[{"output_type":"error","ename":"E","evalue":"v"}]}]}'
     assert to_markdown(notebook.parse(cells)) == "# T\n\nx `y`\n\n```python\n1\n```\n\n```\nE: v\n```\n"
+    blocks = notebook.small_markdown("## Two ##\n#none\nmore\n- a\n- b\n* * *\n2) c\n> q\n>r\n~~~ py\n# x\n\ny\n~~~\n# C#\nend")
+    assert to_markdown(Document(blocks)) == "## Two\n\n#none\nmore\n\n- a\n- b\n\n---\n\n1. c\n\n> q\n> r\n\n```py\n# x\n\ny\n```\n\n# C#\n\nend\n"
     with pytest.raises(ConvertError, match="not a Jupyter notebook"):
         notebook.parse(b"{}")
 
