@@ -83,10 +83,13 @@ def sanitize_ids(spark, sf_dir):
     return tables.table(spark, sf_dir, "pages").select("page_id", N.sanitize_id(F.col("url")).alias("html_id"))
 
 
-@query(rf"""SELECT doc_id, CASE WHEN s = '' THEN 'section' ELSE s END AS slug FROM (SELECT doc_id,
-regexp_replace(replace(lower(regexp_replace(split_part(text, chr(10), 1), '^{_WS}+|{_WS}+$', '', 'g')), ' ', '-'), '[^\p{{L}}\p{{N}}_-]', '', 'g') AS s FROM documents)""")
+@query(rf"""SELECT doc_id, pos, CASE WHEN s = '' THEN 'section' ELSE s END AS slug FROM (SELECT doc_id, pos,
+regexp_replace(replace(lower(regexp_replace(line, '^{_WS}+|{_WS}+$', '', 'g')), ' ', '-'), '[^\p{{L}}\p{{N}}_-]', '', 'g') AS s FROM
+(SELECT doc_id, unnest(range(len(l))) AS pos, unnest(l) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)))""")
 def heading_slugs(spark, sf_dir):
-    return _docs(spark, sf_dir).select("doc_id", N.gfm_slug(F.split("text", "\n", -1)[0]).alias("slug"))
+    """Every line as a heading, with its place."""
+    lines = _docs(spark, sf_dir).select("doc_id", F.split("text", "\n", -1).alias("l")).select("doc_id", F.posexplode("l").alias("pos", "line"))
+    return lines.select("doc_id", F.col("pos").cast("long").alias("pos"), N.gfm_slug(F.col("line")).alias("slug"))
 
 
 @query(r"""SELECT page_id, CASE WHEN regexp_matches(u, '[() ]') THEN '<' || u || '>' ELSE u END AS destination
@@ -306,47 +309,13 @@ def heading_fragments(spark, sf_dir):
     return R.numbered_slugs(rows, ["user_id"], "event_type", "event_id").select("user_id", "event_id", "fragment")
 
 
-@query("""SELECT l_orderkey, island, min(l_linenumber) AS start, count(*) AS items FROM (SELECT *, sum(b) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS island FROM (
-SELECT *, CASE WHEN l_linenumber = lag(l_linenumber) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) + 1 THEN 0 ELSE 1 END AS b FROM
-(SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem WHERE l_partkey % 4 <> 0))) GROUP BY l_orderkey, island""")
-def list_runs(spark, sf_dir):
-    rows = tables.table(spark, sf_dir, "lineitem").where("l_partkey % 4 != 0").select("l_orderkey", "l_linenumber").distinct()
-    runs = R.islands(rows, ["l_orderkey"], "l_linenumber", F.col("l_linenumber"))
-    return runs.groupBy("l_orderkey", "island").agg(F.min("l_linenumber").alias("start"), F.count("*").alias("items"))
-
-
-_SPARSE = """SELECT l_suppkey % 50 AS sheet, l_orderkey % 40 AS "row", l_linenumber AS col, min(l_shipdate::DATE::VARCHAR) AS value FROM lineitem WHERE l_partkey % 9 = 0 GROUP BY ALL"""
-
-
-def _sparse(spark, sf_dir):
-    rows = tables.table(spark, sf_dir, "lineitem").where("l_partkey % 9 = 0")
-    keys = [(F.col("l_suppkey") % 50).alias("sheet"), (F.col("l_orderkey") % 40).alias("row"), F.col("l_linenumber").cast("long").alias("col")]
-    return rows.groupBy(*keys).agg(F.min(F.date_format("l_shipdate", "yyyy-MM-dd")).alias("value"))
-
-
-@query(f"""WITH cells AS ({_SPARSE}), box AS (SELECT sheet, min("row") AS r0, max("row") AS r1, min(col) AS c0, max(col) AS c1 FROM cells GROUP BY sheet),
-every AS (SELECT sheet, "row", unnest(range(c0, c1 + 1)) AS col FROM (SELECT sheet, unnest(range(r0, r1 + 1)) AS "row", c0, c1 FROM box))
-SELECT sheet, "row", col, coalesce(value, '') AS value FROM every LEFT JOIN cells USING (sheet, "row", col)""")
-def dense_sheets(spark, sf_dir):
-    return R.dense_cells(_sparse(spark, sf_dir))
-
-
-@query(f"""WITH cells AS ({_SPARSE}), m AS (SELECT s.sheet, k * 7 AS r0, k * 7 + 2 AS r1, 2 AS c0, 4 AS c1 FROM (SELECT DISTINCT sheet FROM cells) s, range(6) t(k))
-SELECT cells.sheet, "row", col, value, r0, c0 FROM cells JOIN m ON cells.sheet = m.sheet AND "row" BETWEEN r0 AND r1 AND col BETWEEN c0 AND c1""")
-def merged_cells(spark, sf_dir):
-    cells = _sparse(spark, sf_dir)
-    at = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(5).cast("long"))).alias("k")
-    regions = cells.select("sheet").distinct().select("sheet", at).select("sheet", (F.col("k") * 7).alias("r0"), (F.col("k") * 7 + 2).alias("r1"), F.lit(2).cast("long").alias("c0"), F.lit(4).cast("long").alias("c1"))
-    return R.in_regions(cells, regions).select("sheet", "row", "col", "value", "r0", "c0")
-
-
-# The same over every row: a sheet for each supplier, a row for each of its orders; holes and gaps are those of the data.
+# Runs, sheets and regions over every row of lineitem: a sheet for each supplier, a row for each of its orders; holes and gaps are those of the data.
 
 
 @query("""SELECT l_suppkey, island, min(l_orderkey) AS start, count(*) AS items FROM (SELECT *, sum(b) OVER (PARTITION BY l_suppkey ORDER BY l_orderkey) AS island FROM (
 SELECT *, CASE WHEN l_orderkey = lag(l_orderkey) OVER (PARTITION BY l_suppkey ORDER BY l_orderkey) + 1 THEN 0 ELSE 1 END AS b FROM
 (SELECT DISTINCT l_suppkey, l_orderkey FROM lineitem))) GROUP BY l_suppkey, island""")
-def list_runs_whole(spark, sf_dir):
+def list_runs(spark, sf_dir):
     rows = tables.table(spark, sf_dir, "lineitem").select("l_suppkey", "l_orderkey").distinct()
     runs = R.islands(rows, ["l_suppkey"], "l_orderkey", F.col("l_orderkey"))
     return runs.groupBy("l_suppkey", "island").agg(F.min("l_orderkey").alias("start"), F.count("*").alias("items"))
@@ -365,13 +334,13 @@ def _sheets(spark, sf_dir):
 @query(f"""WITH cells AS ({_SHEETS}), box AS (SELECT sheet, min("row") AS r0, max("row") AS r1, min(col) AS c0, max(col) AS c1 FROM cells GROUP BY sheet),
 every AS (SELECT sheet, "row", unnest(range(c0, c1 + 1)) AS col FROM (SELECT sheet, unnest(range(r0, r1 + 1)) AS "row", c0, c1 FROM box))
 SELECT sheet, "row", col, coalesce(value, '') AS value FROM every LEFT JOIN cells USING (sheet, "row", col)""")
-def dense_sheets_whole(spark, sf_dir):
+def dense_sheets(spark, sf_dir):
     return R.dense_cells(_sheets(spark, sf_dir))
 
 
 @query(f"""WITH cells AS ({_SHEETS}), m AS (SELECT sheet, k * 7 AS r0, k * 7 + 2 AS r1, 2 AS c0, 4 AS c1 FROM (SELECT sheet, unnest(range(max("row") // 7 + 1)) AS k FROM cells GROUP BY sheet))
 SELECT cells.sheet, "row", col, value, r0, c0 FROM cells JOIN m ON cells.sheet = m.sheet AND "row" BETWEEN r0 AND r1 AND col BETWEEN c0 AND c1""")
-def merged_cells_whole(spark, sf_dir):
+def merged_cells(spark, sf_dir):
     cells = _sheets(spark, sf_dir)
     at = cells.groupBy("sheet").agg(F.max("row").alias("last")).select("sheet", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("last") / 7))).alias("k"))
     regions = at.select("sheet", (F.col("k") * 7).alias("r0"), (F.col("k") * 7 + 2).alias("r1"), F.lit(2).cast("long").alias("c0"), F.lit(4).cast("long").alias("c1"))

@@ -11,7 +11,7 @@ from quire.plans import catalogue
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["list_runs_whole", "dense_sheets_whole", "merged_cells_whole"])
+@pytest.mark.parametrize("name", ["list_runs", "dense_sheets", "merged_cells", "heading_slugs"])
 def test_like_sql(spark, name):
     con = duckdb.connect()
     for path in glob.glob(f"{SF}/*.parquet"):
@@ -25,6 +25,6 @@ def test_like_sql(spark, name):
 
 def test_every_cell_is_there(spark):
     rows = spark.read.parquet(f"{SF}/lineitem.parquet")
-    cells = catalogue.dense_sheets_whole(spark, SF).where("value != ''").count()
+    cells = catalogue.dense_sheets(spark, SF).where("value != ''").count()
     assert cells == rows.select("l_suppkey", "l_orderkey", "l_linenumber").distinct().count()
-    assert catalogue.list_runs_whole(spark, SF).selectExpr("sum(items)").first()[0] == rows.select("l_suppkey", "l_orderkey").distinct().count()
+    assert catalogue.list_runs(spark, SF).selectExpr("sum(items)").first()[0] == rows.select("l_suppkey", "l_orderkey").distinct().count()
