@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from quire.llm import pretokens
 
 #: Distinct pre-tokens that a worker remembers; beyond it the memory starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 #: Pre-tokens handed to the library at a time.
 AT_ONCE = 4096
 
@@ -185,10 +185,12 @@ def decode(df: DataFrame, path: str, key: str = "doc_id", keep: tuple[str, ...]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pieces(path)
-        for batch in batches:
-            texts = [table.decode(np.frombuffer(x.as_py() or b"", "<u4")) for x in batch.column(1)]
-            columns = [*batch.columns[:2], pa.array(texts, pa.binary()), *batch.columns[2:]]
-            yield pa.RecordBatch.from_arrays(columns, names)
+        for whole in batches:
+            for k in range(0, len(whole), 500):
+                batch = whole.slice(k, 500)
+                texts = [table.decode(np.frombuffer(x.as_py() or b"", "<u4")) for x in batch.column(1)]
+                columns = [*batch.columns[:2], pa.array(texts, pa.binary()), *batch.columns[2:]]
+                yield pa.RecordBatch.from_arrays(columns, names)
 
     fields = [df.schema[key], df.schema["ids"], T.StructField("decoded", T.BinaryType()), *(df.schema[c] for c in keep)]
     names = [f.name for f in fields]

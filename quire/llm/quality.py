@@ -32,7 +32,7 @@ DIMENSIONS = 1 << 18
 #: Step of the fit.
 STEP = 0.1
 #: Distinct words whose weight a worker remembers; beyond it the memory starts anew.
-REMEMBERED = 1_000_000
+REMEMBERED = 200_000
 
 #: Letters at the beginning of a word that are a feature of their own, for inflected words.
 STEMS = (4, 5)
@@ -210,7 +210,7 @@ def score(docs: DataFrame, model: Model | None, key: str = "doc_id", text: str =
                 return weight
 
         known = Known()
-        for batch in batches:
+        for batch in (whole.slice(k, 500) for whole in batches for k in range(0, len(whole), 500)):
             scores = np.array([sum(map(known.__getitem__, features(t.as_py()))) for t in batch.column(0)], np.float64)
             if len(known) > REMEMBERED:
                 known.clear()
