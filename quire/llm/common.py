@@ -72,7 +72,15 @@ def written(df: DataFrame) -> DataFrame:
         atexit.register(_removed, spark, _FOLDERS[base])
     path = f"{_FOLDERS[base]}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._written = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete what ``written`` has returned, once nothing is to be read of it."""
+    for table in tables:
+        _removed(table.sparkSession, table._written)
 
 
 def partitions(spark: SparkSession) -> int:
