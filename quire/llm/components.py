@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 
 from quire.llm.common import cut
 
+#: Edges in a partition.
+EDGES = 100_000
+
 
 def _stars(edges: DataFrame) -> bool:
     """Whether every node is either a centre or has exactly one edge, to a centre."""
@@ -31,12 +34,15 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     x, y = F.col(a), F.col(b)
     edges = links.where(x.isNotNull() & y.isNotNull() & (x != y)).select(F.greatest(x, y).alias("u"), F.least(x, y).alias("v")).distinct()
     edges = cut(edges)
+    # Few edges in few partitions: each would cost a shuffle file for every step.
+    parts = 1 + edges.count() // EDGES
+    edges = cut(edges.coalesce(parts))
     while not _stars(edges):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = cut(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        edges = cut(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct().coalesce(parts))
     centres = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(centres)
