@@ -150,7 +150,7 @@ def test_mail_and_notebook():
     assert to_markdown(mail.parse(box)) == "# 1\n\na\n\n---\n\n# 2\n\nFrom b\n"
     cells = b'{"nbformat":4,"cells":[{"cell_type":"markdown","source":["# T\\n","x `y`"]},{"cell_type":"code","source":"1","outputs":[{"output_type":"error","ename":"E","evalue":"v"}]}]}'
     assert to_markdown(notebook.parse(cells)) == "# T\n\nx `y`\n\n```python\n1\n```\n\n```\nE: v\n```\n"
-    blocks = notebook.small_markdown("## Two ##\n#none\nmore\n- a\n- b\n* * *\n2) c\n> q\n>r\n~~~ py\n# x\n\ny\n~~~\n# C#\nend")
+    blocks = notebook.small_markdown("## Two ##\n#none\nmore\n- a\n- b\n---\n2) c\n> q\n>r\n~~~ py\n# x\n\ny\n~~~\n# C#\nend")
     assert to_markdown(Document(blocks)) == "## Two\n\n#none\nmore\n\n- a\n- b\n\n---\n\n1. c\n\n> q\n> r\n\n```py\n# x\n\ny\n```\n\n# C#\n\nend\n"
     with pytest.raises(ConvertError, match="not a Jupyter notebook"):
         notebook.parse(b"{}")
