@@ -8,8 +8,9 @@ small, and the number of tables with it, so that a pair at the threshold is miss
 with probability MISS at most.  Vectors that share a bucket are compared exactly, in double
 precision, in blocks; a pair counts only in the first table whose bucket it shares.
 
-Equal vectors are one class from the start and count with their number.  A bucket of more than
-``BLOCK`` classes is dealt to pairs of blocks, so no task holds more than two blocks, and a block
+Equal vectors are one class from the start and count with their number.  Buckets are counted on
+rows of three numbers; a vector is sent, as wide as its column holds it, only to the buckets that it
+shares, and normalised where it is compared.  A bucket of more than ``BLOCK`` classes is dealt to pairs of blocks, so no task holds more than two blocks, and a block
 returns link counts and a spanning forest, never its pairs.
 
 Vectors link only under equal, non-null labels and with equally many components.  Null, empty or
@@ -77,8 +78,18 @@ def _unit(v: np.ndarray) -> np.ndarray:
     return v / math.sqrt(float(v @ v))
 
 
+def _width(df: DataFrame, vector: str) -> type:
+    """The type that holds the components without loss in the fewest bytes."""
+    return np.float32 if isinstance(df.schema[vector].dataType.elementType, T.FloatType) else np.float64
+
+
+def _unpacked(packed: bytes, width: type) -> np.ndarray:
+    return _unit(np.frombuffer(packed, width).astype(np.float64))
+
+
 def _classed(df: DataFrame, key: str, vector: str, label: str) -> DataFrame:
-    """Rows (key, c, label, v): class number and unit vector, null for what links with nothing."""
+    """Rows (key, c, label, v): class number and packed vector, null for what links with nothing."""
+    width = _width(df, vector)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -90,7 +101,7 @@ def _classed(df: DataFrame, key: str, vector: str, label: str) -> DataFrame:
                 else:
                     mark = hashlib.blake2b(f"{name!r} ".encode() + v.tobytes(), digest_size=8).digest()
                     numbers.append(int.from_bytes(mark, "little", signed=True))
-                    packed.append(_unit(v).tobytes())
+                    packed.append(v.astype(width).tobytes())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(numbers, pa.int64()), batch.column(2), pa.array(packed, pa.binary())], ["key", "c", "label", "v"]
             )
@@ -99,7 +110,7 @@ def _classed(df: DataFrame, key: str, vector: str, label: str) -> DataFrame:
     return df.select(F.col(key).alias("key"), F.col(vector).alias("vector"), F.col(label).alias("label")).mapInArrow(run, T.StructType(fields))
 
 
-def _hashed(classes: DataFrame, per_table: int, tables: int) -> DataFrame:
+def _hashed(classes: DataFrame, per_table: int, tables: int, width: type) -> DataFrame:
     """Rows (c, rep, mult, v, buckets): one bucket number per table, of label, size and steps."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,7 +118,7 @@ def _hashed(classes: DataFrame, per_table: int, tables: int) -> DataFrame:
         for batch in batches:
             buckets = []
             for name, packed in zip(batch.column(4).to_pylist(), batch.column(3), strict=True):
-                v = np.frombuffer(packed.as_py(), np.float64)
+                v = _unpacked(packed.as_py(), width)
                 if len(v) not in known:
                     draw = np.random.default_rng([SEED, len(v)])
                     known[len(v)] = draw.standard_normal((len(v), tables * per_table)), draw.random(tables * per_table) * STEP, draw.integers(1, 1 << 62, tables * per_table) | 1
@@ -122,9 +133,9 @@ def _hashed(classes: DataFrame, per_table: int, tables: int) -> DataFrame:
     return classes.select("c", "rep", "mult", "v", "label").mapInArrow(run, T.StructType(fields))
 
 
-def _compare(rows: list[tuple], cosine: float) -> list[tuple]:
+def _compare(rows: list[tuple], cosine: float, width: type) -> list[tuple]:
     """(c, rep, links, root) of the classes of one block pair that have links in it."""
-    unit = np.stack([np.frombuffer(r[5], np.float64) for r in rows])
+    unit = np.stack([_unpacked(r[5], width) for r in rows])
     buckets = np.array([r[6] for r in rows])
     table, (low, high) = rows[0][0], (rows[0][2], rows[0][3])
     side = np.array([r[7] for r in rows])
@@ -157,7 +168,7 @@ def _compare(rows: list[tuple], cosine: float) -> list[tuple]:
     return [(number[k], reps[k], int(links[k]), reps[top(k)]) for k in np.flatnonzero(links).tolist()]
 
 
-def _linked(dealt: DataFrame, cosine: float, kind) -> DataFrame:
+def _linked(dealt: DataFrame, cosine: float, kind, width: type) -> DataFrame:
     """Compare within each (t, bucket, low, high) of rows that are sorted by it."""
     names = ["c", "rep", "links", "root"]
 
@@ -171,14 +182,14 @@ def _linked(dealt: DataFrame, cosine: float, kind) -> DataFrame:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if row[:4] != key:
                     if len(group) > 1:
-                        done += _compare(group, cosine)
+                        done += _compare(group, cosine, width)
                     group, key = [], row[:4]
                 group.append(row)
             if len(done) > 10_000:
                 yield table(done, types)
                 done = []
         if len(group) > 1:
-            done += _compare(group, cosine)
+            done += _compare(group, cosine, width)
         if done:
             yield table(done, types)
 
@@ -193,19 +204,24 @@ def near_vectors(df: DataFrame, cosine: float = 0.98, key: str = "vec_id", vecto
         table.where("c IS NOT NULL").groupBy("c").agg(F.min("key").alias("rep"), F.count("*").alias("mult"), F.any_value("label").alias("label"), F.any_value("v").alias("v"))
     )
     per_table, tables = shape(classes.count(), cosine)
-    hashed = _hashed(classes, per_table, tables)
-    listed = hashed.select("c", "rep", "mult", "v", "buckets", F.posexplode("buckets").alias("t", "bucket"))
-    sizes = _hashed(classes, per_table, tables).select(F.posexplode("buckets").alias("t", "bucket")).groupBy("t", "bucket").count().where("count > 1")
+    width = _width(df, vector)
+    hashed = cut(_hashed(classes, per_table, tables, width))
+    listed = hashed.select("c", F.posexplode("buckets").alias("t", "bucket"))
+    sizes = listed.groupBy("t", "bucket").count().where("count > 1")
     sizes = cut(sizes.select("t", "bucket", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks")))
+    # At most one entry for each table.
+    shared = listed.join(sizes, ["t", "bucket"]).groupBy("c").agg(F.collect_list(F.struct("t", "bucket", "blocks")).alias("met"))
     dealt = (
-        listed.join(sizes, ["t", "bucket"])
+        hashed.join(shared, "c")
+        .select("c", "rep", "mult", "v", "buckets", F.inline("met"))
+        .withColumn("buckets", F.slice("buckets", F.lit(1), F.col("t")))  # the tables before
         .withColumn("side", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select("t", "bucket", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"), "rep", "v", "buckets", "side", "c", "mult")
         .repartition("t", "bucket", "low", "high")
         .sortWithinPartitions("t", "bucket", "low", "high")
     )
-    linked = cut(_linked(dealt, cosine, table.schema["key"].dataType))
+    linked = cut(_linked(dealt, cosine, table.schema["key"].dataType, width))
     counts = linked.groupBy("c").agg(F.sum("links").alias("links"))
     groups = components(linked.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     named = (

@@ -21,7 +21,7 @@ that strings with this anchor reach.
    place of the anchor in a string the first start is found among them.
 4. The covered intervals go back to their documents.
 
-Null texts count as empty.  Null ids come first in order and stay null.  Rows that repeat both id
+Ids are integers of any width; other types are refused.  Null texts count as empty.  Null ids come first in order and stay null.  Rows that repeat both id
 and text are one document: neither covers the other.  Texts shorter than ``length`` lose nothing.
 Only the id and text columns are read.
 """
@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quire.llm.common import cut, partitions
+from quire.llm.common import cut, partitions, sampled
 
 #: Bytes of an anchor.
 GRAM = 40
@@ -188,7 +188,7 @@ def _pack(entries: list[tuple]) -> bytes:
     rights = [e[0] for e in entries]
     shared = [0] + [common(a, b, 0) for a, b in zip(rights[:-1], rights[1:], strict=True)]
     rests = [r[s:] for r, s in zip(rights, shared, strict=True)]
-    numbers = np.array([(s, len(r), len(e[1])) for s, r, e in zip(shared, rests, entries, strict=True)], np.uint8)
+    numbers = np.array([(s, len(r), len(e[1])) for s, r, e in zip(shared, rests, entries, strict=True)], "<u2")
     where = np.array([e[2] for e in entries], np.int64)
     parts = [numbers.T.tobytes(), where.T.tobytes(), b"".join(rests), b"".join(e[1] for e in entries)]
     return struct.pack("<I", len(entries)) + zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
@@ -200,9 +200,9 @@ def _unpack(run: bytes) -> Iterator[tuple]:
 
     (n,) = struct.unpack_from("<I", run)
     raw = zstandard.ZstdDecompressor().decompress(run[4:])
-    shared, rests, lefts = np.frombuffer(raw, np.uint8, 3 * n).reshape(3, n).tolist()
-    where = np.frombuffer(raw, np.int64, 3 * n, 3 * n).reshape(3, n).T.tolist()
-    at = 27 * n
+    shared, rests, lefts = np.frombuffer(raw, "<u2", 3 * n).reshape(3, n).tolist()
+    where = np.frombuffer(raw, np.int64, 3 * n, 6 * n).reshape(3, n).T.tolist()
+    at = 30 * n
     other = at + sum(rests)
     right = b""
     for s, r, k, w in zip(shared, rests, lefts, where, strict=True):
@@ -412,16 +412,20 @@ def _merge_pass(pieces: DataFrame, length: int) -> DataFrame:
 
 
 def _splitters(spark: SparkSession, hashed: DataFrame, parts: int) -> list[bytes]:
-    drawn = hashed.where("part < 0").select("gram").orderBy(F.xxhash64("gram"), "gram").limit(SAMPLE)
-    grams = sorted(r["gram"] if isinstance(r["gram"], bytes) else bytes(r["gram"]) for r in drawn.collect())  # at most SAMPLE rows
-    return sorted({grams[len(grams) * k // parts] for k in range(1, parts)}) if grams else []
+    """Grams that cut the anchors into ranges of like size; each gram is drawn once, with its count."""
+    counted = cut(hashed.where("part < 0").groupBy("gram").count())
+    drawn = sorted((bytes(r["gram"]), r["count"]) for r in sampled(counted, SAMPLE, "gram", "count"))
+    ends = np.cumsum([n for _, n in drawn])
+    return sorted({drawn[np.searchsorted(ends, ends[-1] * k // parts, "right")][0] for k in range(1, parts)}) if drawn else []
 
 
 def covered(docs: DataFrame, length: int = 100, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows (doc, body, spans): for each document that loses bytes, its covered intervals, packed and joined."""
     spark = docs.sparkSession
-    if length < GRAM:
-        raise ValueError(f"length must be at least {GRAM}")
+    if not GRAM <= length < 1 << 16:
+        raise ValueError(f"length must be from {GRAM} to {(1 << 16) - 1}")
+    if not isinstance(docs.schema[key].dataType, T.IntegralType):
+        raise TypeError(f"{key} must be an integer column, which orders the documents")
     table = _documents(docs, key, text)
     hashed = cut(_hash_pass(table, length))
     wanted = spark.sparkContext.broadcast(bytes(_repeated(hashed)))

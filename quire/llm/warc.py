@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import checkpoint_dir, cut, partitions
+from quire.llm.common import checkpoint_dir, cut, partitions, sampled
 from quire.llm.suffixes import LoserTree, common
 
 #: Copies of a frequent payload's digest, so that its pages are dealt to so many tasks.
@@ -177,8 +177,7 @@ def sort_bytes(key: str, when: str, page: int) -> bytes:
 def merge_index(captures: DataFrame) -> DataFrame:
     """The captures with (range, number, history): their global order, and their place in their URL's history of that range."""
     spark = captures.sparkSession
-    drawn = captures.select("key", "stamp", "page").orderBy(F.xxhash64("key", "stamp", "page"), "key", "stamp", "page").limit(SAMPLE).collect()  # a bounded sample
-    seen = sorted(sort_bytes(r["key"], r["stamp"], r["page"]) for r in drawn)
+    seen = sorted(sort_bytes(r["key"], r["stamp"], r["page"]) for r in sampled(captures, SAMPLE, "key", "stamp", "page", "archive", "offset"))
     parts = partitions(spark)
     cuts = sorted({seen[len(seen) * k // parts] for k in range(1, parts)}) if seen else []
 

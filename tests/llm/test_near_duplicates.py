@@ -129,3 +129,13 @@ def test_bundles_of_many_blocks(spark, monkeypatch):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(df, width=2).collect()} == groups
     assert (minhash._overlaps([np.array([1, 2, 3])], [np.array([2, 3, 4]), np.array([], np.int64)]) == [[2, 0]]).all()
+
+
+def test_vectors_of_floats_and_clashing_columns(spark):
+    """Columns named as the operator's own do not disturb it, and narrow vectors give the links of wide ones."""
+    rng = np.random.default_rng(6)
+    base = rng.standard_normal((6, 8)).astype(np.float32)
+    rows = [(k, [float(np.float32(x)) for x in base[k % 6] + np.float32(0.04) * rng.standard_normal(8).astype(np.float32)], k % 2, "x", k, 1) for k in range(120)]
+    names = "vec_id long, embedding array<{}>, label int, buckets string, c long, t int"
+    found = [sorted(map(tuple, embedding.near_vectors(spark.createDataFrame(rows, names.format(kind))).collect())) for kind in ("float", "double")]
+    assert found[0] == found[1] and sum(r[1] for r in found[0]) > 100

@@ -3,6 +3,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 
 from quire.llm import decontaminate, suffixes
 
@@ -99,3 +100,28 @@ def test_loser_tree_knows_shared_prefixes():
 def test_runs_unpack_as_packed():
     entries = sorted((bytes([97 + k % 3]) * (40 + k % 60), b"l" * (k % 61), (k, -k, 2 * k)) for k in range(300))
     assert [(r, left, w) for _, r, left, w in suffixes._unpack(suffixes._pack(entries))] == entries
+
+
+def test_long_strings_and_odd_ids(spark):
+    """Lengths above one byte, a very long text, and ids that are no integers."""
+    rng = random.Random(12)
+    word = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    shared = word(700)
+    rows = [(1, word(300) + "A" + shared), (2, shared[:399] + "B" + word(50)), (3, word(20) + "C" + shared[100:600] + "D"), (4, word(300_000) + "E" + shared)]
+    df = spark.createDataFrame(rows, "doc_id int, text string")
+    found = {r["doc_id"]: (r["n_removed"], r["n_spans"]) for r in suffixes.dedup_substrings(df, 400).collect()}
+    assert found == {1: (0, 0), 2: (0, 0), 3: (500, 1), 4: (700, 1)}
+    for bad in (lambda: suffixes.dedup_substrings(df, 20), lambda: suffixes.dedup_substrings(df, 1 << 16)):
+        with pytest.raises(ValueError):
+            bad()
+    with pytest.raises(TypeError):
+        suffixes.dedup_substrings(df.withColumn("doc_id", df["doc_id"].cast("string")))
+
+
+def test_splitters_weigh_and_bound_a_hot_gram(spark, monkeypatch):
+    rows = [(-1, b"hot" + b"x" * 37)] * 500 + [(-1, b"g%039d" % k) for k in range(200)]
+    table = spark.createDataFrame(rows, "part int, gram binary")
+    cuts = suffixes._splitters(spark, table, 4)
+    assert cuts == sorted(set(cuts)) and b"hot" + b"x" * 37 in cuts and len(cuts) <= 3
+    monkeypatch.setattr(suffixes, "SAMPLE", 40)
+    assert len(suffixes._splitters(spark, table, 400)) < 100
