@@ -229,6 +229,20 @@ def csv_to_markdown(spark, sf_dir):
     return engine.to_markdown(files, key="grid", path=F.lit("nations.csv")).select("grid", "markdown")
 
 
+@query(r"""SELECT o_orderkey, '# Order ' || o_orderkey || chr(10) || chr(10) || '**' || o_orderstatus || '** caf' || chr(233) || ' ' || chr(8211) || ' ' || o_custkey || chr(10) || chr(10)
+|| '| key | customer |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || o_orderkey || ' | ' || o_custkey || ' |' || chr(10) AS markdown FROM orders""")
+def rtf_to_markdown(spark, sf_dir):
+    """Each order as a rich text file: a styled heading, bytes of a code page, a Unicode escape, a table."""
+    key, customer = F.col("o_orderkey").cast("string"), F.col("o_custkey").cast("string")
+    content = F.concat(
+        F.lit(r"{\rtf1\ansi\ansicpg1252{\fonttbl{\f0\fcharset0 Arial;}}{\stylesheet{\s1\outlinelevel0 heading 1;}}\pard\s1 Order "), key,
+        F.lit(r"\par\pard\plain {\b "), F.col("o_orderstatus"), F.lit(r"} caf\'e9 舑- "), customer,
+        F.lit(r"\par\trowd\cellx1000\cellx2000\intbl key\cell customer\cell\row\trowd\cellx1000\cellx2000 "), key, F.lit(r"\cell "), customer, F.lit(r"\cell\row\pard}"),
+    )
+    files = tables.table(spark, sf_dir, "orders").select("o_orderkey", content.alias("content"))
+    return engine.to_markdown(files, key="o_orderkey", path=F.lit(None).cast("string")).select("o_orderkey", "markdown")
+
+
 @query(r"""SELECT conv_id, string_agg('*\[' || lpad(CAST(turn // 3600 AS VARCHAR), 2, '0') || ':' || lpad(CAST(turn // 60 % 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(turn % 60 AS VARCHAR), 2, '0') || '.000]* ' || role, chr(10) || chr(10) ORDER BY turn, role) || chr(10) AS markdown
 FROM conversations GROUP BY conv_id""")
 def subtitles_to_markdown(spark, sf_dir):

@@ -13,7 +13,7 @@ from functools import lru_cache
 
 from quire.containers.archive import FOREIGN, OLE, PDF, RTF, ZIP, Package, is_zip
 from quire.errors import ConvertError, unrecognized, unsupported
-from quire.formats import archive, csv, data, html, mail, notebook, subtitle, svg, text
+from quire.formats import archive, csv, data, html, mail, notebook, rtf, subtitle, svg, text
 from quire.functions.strings import decode, extension, lines
 from quire.render import to_markdown
 
@@ -121,6 +121,7 @@ def front_ends() -> tuple[FrontEnd, ...]:
         FrontEnd("ipynb", lambda c, e, k: 3 if notebook.sniffs(c) else int(e in notebook.EXTENSIONS), _document(notebook.parse), text_like),
         FrontEnd("svg", lambda c, e, k: 3 if _is_svg(c) else int(e in svg.EXTENSIONS), _document(svg.parse), text_like),
         FrontEnd("docx", _by_package({"docx"}, set("docx docm dotx dotm".split())), _document(office.docx)),
+        FrontEnd("rtf", lambda c, e, k: 2 if c.startswith(RTF) else int(e == "rtf"), _document(rtf.parse)),
         FrontEnd("xlsx", _by_package({"xlsx"}, set("xlsx xlsm xltx xltm".split())), _document(office.xlsx)),
         FrontEnd("pptx", _by_package({"pptx"}, set("pptx pptm ppsx ppsm potx potm".split())), _document(office.pptx)),
         FrontEnd("odf", lambda c, e, k: 2 if k in ("odt", "ods", "odp", "odg") or _flat_odf(c[:8192]) else int(e in office.ODF), _document(office.odf)),
@@ -140,24 +141,24 @@ def package_kind(content: bytes) -> str | None:
         return None
 
 
-def scores(content: bytes, path: str | None, formats: tuple[str, ...] | None = None) -> list[tuple[str, int]]:
+def scores(content: bytes, path: str | None, formats: tuple[str, ...] | None = None, extra: tuple[FrontEnd, ...] = ()) -> list[tuple[str, int]]:
     ext, kind = extension(path), package_kind(content)
-    return [(c.id, int(c.sniff(content, ext, kind))) for c in front_ends() if formats is None or c.id in formats]
+    return [(c.id, int(c.sniff(content, ext, kind))) for c in (*front_ends(), *extra) if formats is None or c.id in formats]
 
 
-def detect(content: bytes, path: str | None, formats: tuple[str, ...] | None = None) -> str | None:
-    best = max(scores(content, path, formats), key=lambda s: s[1], default=(None, 0))  # max keeps the first
+def detect(content: bytes, path: str | None, formats: tuple[str, ...] | None = None, extra: tuple[FrontEnd, ...] = ()) -> str | None:
+    best = max(scores(content, path, formats, extra), key=lambda s: s[1], default=(None, 0))  # max keeps the first
     return best[0] if best[1] > 0 else None
 
 
-def convert(content: bytes, path: str | None = None, formats: tuple[str, ...] | None = None) -> tuple[str, str]:
-    """(format, Markdown); raises ConvertError."""
-    found = detect(content, path, formats)
+def convert(content: bytes, path: str | None = None, formats: tuple[str, ...] | None = None, extra: tuple[FrontEnd, ...] = ()) -> tuple[str, str]:
+    """(format, Markdown); raises ConvertError.  ``extra`` are a caller's own front ends, tried after these."""
+    found = detect(content, path, formats, extra)
     if found is None:
         raise unrecognized(path)
-    chosen = next(c for c in front_ends() if c.id == found)
+    chosen = next(c for c in (*front_ends(), *extra) if c.id == found)
     for name in chosen.refuses:
         magic = FOREIGN.get(name, RTF)
         if content.removeprefix(b"\xef\xbb\xbf").startswith(magic):
             raise unsupported(name)
-    return found, chosen.convert(content, path, lambda inner, name: convert(inner, name, formats)[1])
+    return found, chosen.convert(content, path, lambda inner, name: convert(inner, name, formats, extra)[1])
