@@ -57,6 +57,7 @@ def header_votes(cells: DataFrame, grid: str = "grid") -> DataFrame:
     columns = sample.groupBy(grid, "col").agg(
         F.max(F.when(head, F.col("value"))).alias("label"),
         F.max(F.when(head, F.col("kind"))).alias("label_kind"),
+        F.count_if(body).alias("below"),
         F.count_if(body & (F.col("value") != "")).alias("filled"),
         F.collect_set(F.when(body & (F.col("value") != ""), F.lower("value"))).alias("seen"),
         *counts,
@@ -69,7 +70,7 @@ def header_votes(cells: DataFrame, grid: str = "grid") -> DataFrame:
         .otherwise(0)
     )
     voted = columns.withColumn("vote", vote)
-    ruled_out = (F.max((F.col("label").isNull() | (F.col("label") == "")) & (F.col("col") > 0))) | (F.count_distinct(F.when(F.col("label") != "", F.lower("label"))) < F.count_if(F.col("label") != ""))
+    ruled_out = (F.max("below") == 0) | (F.max((F.col("label").isNull() | (F.col("label") == "")) & (F.col("col") > 0))) | (F.count_distinct(F.when(F.col("label") != "", F.lower("label"))) < F.count_if(F.col("label") != ""))
     return voted.groupBy(grid).agg(
         F.count_if(F.col("vote") > 0).alias("for_header"),
         F.count_if(F.col("vote") < 0).alias("for_data"),

@@ -229,6 +229,34 @@ def csv_to_markdown(spark, sf_dir):
     return engine.to_markdown(files, key="grid", path=F.lit("nations.csv")).select("grid", "markdown")
 
 
+@query("""SELECT l_orderkey AS grid, '| line | date | mode |' || chr(10) || '| --- | --- | --- |' || chr(10)
+|| string_agg('| ' || l_linenumber || ' | ' || d || ' | ' || l_returnflag || ' |', chr(10) ORDER BY l_linenumber, d, l_returnflag) || chr(10) AS markdown
+FROM (SELECT *, l_shipdate::DATE::VARCHAR AS d FROM lineitem) GROUP BY l_orderkey""")
+def order_files_to_markdown(spark, sf_dir):
+    """A CSV file for each order, with a row for each of its lines."""
+    day = F.date_format("l_shipdate", "yyyy-MM-dd")
+    line = F.concat(F.col("l_linenumber").cast("string"), F.lit(";"), day, F.lit(';"'), "l_returnflag", F.lit('"'))
+    rows = tables.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("grid"), F.struct("l_linenumber", day.alias("d"), "l_returnflag", line.alias("line")).alias("r"))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list("r")), lambda r: r["line"]), "\n")
+    files = rows.groupBy("grid").agg(F.concat(F.lit("line;date;mode\n"), body).alias("content"))
+    return engine.to_markdown(files, key="grid", path=F.lit("order.csv")).select("grid", "markdown")
+
+
+@query("""SELECT grid, CASE WHEN grid % 2 = 0 THEN 2 ELSE 0 END AS for_header, CASE WHEN grid % 2 = 0 OR n = 1 THEN 0 ELSE 2 + CAST(again AS INTEGER) END AS for_data,
+CASE WHEN grid % 2 = 0 THEN 1 ELSE 0 END AS header_rows FROM (SELECT l_orderkey AS grid, count(*) AS n, count(*) FILTER (l_returnflag = top) > 1 AS again
+FROM (SELECT *, first_value(l_returnflag) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_shipdate, l_returnflag) AS top FROM lineitem) GROUP BY l_orderkey)""")
+def order_headers(spark, sf_dir):
+    """A grid for each order, with labels over its columns or, for odd orders, without."""
+    rows = tables.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate", "l_returnflag")
+    at = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_shipdate", "l_returnflag")) - F.col("l_orderkey") % 2
+    values = F.array(F.col("l_linenumber").cast("string"), F.date_format("l_shipdate", "yyyy-MM-dd"), F.col("l_returnflag"))
+    placed = rows.select(F.col("l_orderkey").alias("grid"), at.cast("long").alias("row"), values.alias("v"))  # numbered before it is exploded
+    cells = placed.select("grid", "row", F.posexplode("v").alias("col", "value"))
+    even = rows.where("l_orderkey % 2 = 0").select(F.col("l_orderkey").alias("grid")).distinct()
+    labels = even.select("grid", F.lit(0).cast("long").alias("row"), F.posexplode(F.array(F.lit("line"), F.lit("date"), F.lit("mode"))).alias("col", "value"))
+    return R.header_votes(cells.unionByName(labels))
+
+
 @query(r"""SELECT o_orderkey, '# Order ' || o_orderkey || chr(10) || chr(10) || '**' || o_orderstatus || '** caf' || chr(233) || ' ' || chr(8211) || ' ' || o_custkey || chr(10) || chr(10)
 || '| key | customer |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || o_orderkey || ' | ' || o_custkey || ' |' || chr(10) AS markdown FROM orders""")
 def rtf_to_markdown(spark, sf_dir):
@@ -236,7 +264,7 @@ def rtf_to_markdown(spark, sf_dir):
     key, customer = F.col("o_orderkey").cast("string"), F.col("o_custkey").cast("string")
     content = F.concat(
         F.lit(r"{\rtf1\ansi\ansicpg1252{\fonttbl{\f0\fcharset0 Arial;}}{\stylesheet{\s1\outlinelevel0 heading 1;}}\pard\s1 Order "), key,
-        F.lit(r"\par\pard\plain {\b "), F.col("o_orderstatus"), F.lit(r"} caf\'e9 舑- "), customer,
+        F.lit(r"\par\pard\plain {\b "), F.col("o_orderstatus"), F.lit(r"} caf\'e9 \u8211- "), customer,
         F.lit(r"\par\trowd\cellx1000\cellx2000\intbl key\cell customer\cell\row\trowd\cellx1000\cellx2000 "), key, F.lit(r"\cell "), customer, F.lit(r"\cell\row\pard}"),
     )
     files = tables.table(spark, sf_dir, "orders").select("o_orderkey", content.alias("content"))

@@ -11,7 +11,7 @@ from quire.plans import catalogue
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["list_runs", "dense_sheets", "merged_cells", "heading_slugs"])
+@pytest.mark.parametrize("name", ["list_runs", "dense_sheets", "merged_cells", "heading_slugs", "order_files_to_markdown", "order_headers", "header_rows", "rtf_to_markdown"])
 def test_like_sql(spark, name):
     con = duckdb.connect()
     for path in glob.glob(f"{SF}/*.parquet"):
