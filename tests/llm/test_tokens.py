@@ -72,3 +72,13 @@ def test_queries_on_nulls_and_long_texts(spark):
     assert bpe_codec.round_trip(df.limit(0), MULTI).collect() == [] and token_counts.count_tokens(df.limit(0), JSON).collect() == []
     offsets = bpe_codec.encode(df.where("doc_id = 3 AND ids = 3"), MULTI, offsets=True).first()
     assert offsets["past"][-1] == 4
+
+
+def test_decoding_beside_encoding(spark):
+    """One worker a task does both, with what two would give."""
+    df = spark.createDataFrame([(1, "one two é🙂"), (2, ""), (3, None), (4, "\r\n a's <|x|>" * 50)], "doc_id long, text string")
+    plan = bpe_codec.round_trip(df, MULTI)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+    apart = bpe_codec.decode(bpe_codec.encode(df, MULTI), MULTI).select("doc_id", "ids", "decoded")
+    together = bpe_codec.encode(df, MULTI, decoded=True).select("doc_id", "ids", "decoded")
+    assert sorted(together.collect()) == sorted(apart.collect())
