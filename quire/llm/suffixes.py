@@ -9,6 +9,12 @@ one with the smallest hash (the first, on a tie) anchors it, and equal strings h
 the same place.  So only suffixes at anchors are sorted, each with the bytes to its right and left
 that strings with this anchor reach.
 
+Passages that repeat as a whole meet first, so that a text which is copied often is sorted once.
+Some anchors, chosen by their hash, cut a text into passages; each reaches over the strings that start
+in it, so every string lies in one.  Hashes that occur again set bits of a filter; the passages in it
+are exchanged by hash and compared byte by byte.  All but the first of equal ones are covered, and
+what starts in them starts earlier too, so only the first passages and the texts between go on.
+
 1. One pass hashes all anchors.  The hashes that occur again set bits of a filter of fixed size;
    anchors outside it are unique, and so is every string they anchor.
 2. A second pass takes the other anchors' suffixes, sorts them in runs of bounded size, keeps equal
@@ -38,7 +44,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quire.llm.common import cut, partitions, sampled
+from quire.llm.common import cut, discard, partitions, release, sampled, written
 
 #: Bytes of an anchor.
 GRAM = 40
@@ -46,8 +52,12 @@ GRAM = 40
 HASH_BITS = 40
 #: Bits of the filter of repeated anchors: a broadcast of 16 MB whatever the input.
 FILTER_BITS = 27
-#: Suffixes, or bytes of text, in one sorted run at most; bytes hashed at a time.
-RUN_ENTRIES, RUN_BYTES, AT_ONCE = 60_000, 32 << 20, 1 << 20
+#: Suffixes, or bytes of text, in one sorted run at most; bytes hashed at a time, as many as caches hold, and bytes whose rows go out together.
+RUN_ENTRIES, RUN_BYTES, AT_ONCE, OUT_ONCE = 60_000, 32 << 20, 1 << 16, 1 << 20
+#: One anchor in so many begins a passage.
+PASSAGE = 4
+#: Effort of compression.
+LEVEL = 3
 #: Anchors in the sample for splitters at most.
 SAMPLE = 20_000
 #: Cells of the filter of documents that lose something: a broadcast of fixed size.
@@ -57,17 +67,21 @@ _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 @lru_cache(maxsize=1)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def _powers_of(n: int) -> tuple[np.ndarray, np.ndarray]:
     up = np.multiply.accumulate(np.full(n, 0xD6E8FEB86659FD93, np.uint64))
     down = np.multiply.accumulate(np.full(n, pow(0xD6E8FEB86659FD93, -1, 1 << 64), np.uint64))
     return up, down
 
 
+def _scales(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers for ``n`` bytes and their inverses; most blocks share one size."""
+    return _powers_of(1 << max(18, (n - 1).bit_length()))
+
+
 def _grams(raw: np.ndarray) -> np.ndarray:
     """A hash of the GRAM bytes that begin at each place."""
     n = len(raw)
-    size = 1 << max(16, (n - 1).bit_length())
-    up, down = _powers(size)
+    up, down = _scales(n)
     sums = np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[:n])
     out = sums[GRAM - 1 :].copy()
     out[1:] -= sums[: n - GRAM]
@@ -105,6 +119,31 @@ def anchors(raw: bytes, ends: np.ndarray, length: int) -> tuple[np.ndarray, ...]
     return text[heads], starts[heads], starts[lasts], anchor[heads], hashes[anchor[heads]]
 
 
+def passages(raw: bytes, ends: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """For texts that end at ``ends`` in ``raw``: (text, begin, end, hash) of each passage."""
+    text, first, last, _, hashes = anchors(raw, ends, length)
+    if not len(text):
+        return text, first, last, hashes
+    heads = np.flatnonzero(np.r_[True, (text[1:] != text[:-1]) | ((hashes[1:] >> np.uint64(7)) % np.uint64(PASSAGE) == 0)])
+    begin, end = first[heads], np.r_[last[heads[1:] - 1], last[-1]] + length
+    up, down = _scales(len(raw))
+    sums = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum((np.frombuffer(raw, np.uint8).astype(np.uint64) + np.uint64(1)) * up[: len(raw)], out=sums[1:])
+    value = (sums[end] - sums[begin]) * down[begin]
+    value ^= value >> np.uint64(32)
+    value *= _ODD
+    value ^= value >> np.uint64(29)
+    value *= np.uint64(0xBF58476D1CE4E5B9)
+    value ^= value >> np.uint64(32)
+    return text[heads], begin, end, value
+
+
+def _set(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Whether the filter has the hashes."""
+    at = hashes >> np.uint64(64 - FILTER_BITS)
+    return (bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+
+
 def _blocks(texts: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
     first, size = 0, 0
     for k, text in enumerate(texts):
@@ -126,25 +165,34 @@ def _documents(docs: DataFrame, key: str, text: str) -> DataFrame:
     )
 
 
-def _hash_pass(table: DataFrame, length: int) -> DataFrame:
-    """Rows (part, once, again, gram): hashes of a block by range, and now and then an anchor's bytes."""
+def _hash_pass(table: DataFrame, length: int, whole: bool = False) -> DataFrame:
+    """Rows (part, once, again, gram): hashes of a block by range, and now and then an anchor's bytes; with ``whole``, of passages."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(held: list[np.ndarray], rows: list[tuple]) -> pa.RecordBatch:
+            values, counts = np.unique(np.concatenate(held) >> np.uint64(64 - HASH_BITS), return_counts=True)
+            part = (values >> np.uint64(32)).astype(np.int64)
+            values = values.astype(np.uint32)  # the range has the other bits
+            edges = np.searchsorted(part, np.arange((1 << HASH_BITS - 32) + 1))
+            for k in range(1 << HASH_BITS - 32):
+                if edges[k] < edges[k + 1]:
+                    own, many = values[edges[k] : edges[k + 1]], counts[edges[k] : edges[k + 1]] > 1
+                    rows.append((k, own[~many].tobytes(), own[many].tobytes(), None))
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int32(), pa.binary(), pa.binary(), pa.binary()))], ["part", "once", "again", "gram"])
+
+        held, rows, size = [], [], 0
         for batch in batches:
             for _, texts in _blocks(batch.column(0).to_pylist()):
                 raw, ends = _joined(texts)
-                _, _, _, anchor, hashes = anchors(raw, ends, length)
-                values, counts = np.unique(hashes >> np.uint64(64 - HASH_BITS), return_counts=True)
-                rows = []
-                part = (values >> np.uint64(32)).astype(np.int64)
-                values = values.astype(np.uint32)  # the range has the other bits
-                edges = np.searchsorted(part, np.arange((1 << HASH_BITS - 32) + 1))
-                for k in range(1 << HASH_BITS - 32):
-                    if edges[k] < edges[k + 1]:
-                        own, many = values[edges[k] : edges[k + 1]], counts[edges[k] : edges[k + 1]] > 1
-                        rows.append((k, own[~many].tobytes(), own[many].tobytes(), None))
-                rows += [(-1, None, None, raw[p : p + GRAM]) for p in anchor[hashes % np.uint64(1021) == 0].tolist()]
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int32(), pa.binary(), pa.binary(), pa.binary()))], ["part", "once", "again", "gram"])
+                anchor, hashes = (None, passages(raw, ends, length)[3]) if whole else anchors(raw, ends, length)[3:]
+                held.append(hashes)
+                rows += [] if whole else [(-1, None, None, raw[p : p + GRAM]) for p in anchor[hashes % np.uint64(1021) == 0].tolist()]
+                size += len(raw)
+                if size >= OUT_ONCE:
+                    yield out(held, rows)
+                    held, rows, size = [], [], 0
+        if held:
+            yield out(held, rows)
 
     return table.select("raw").mapInArrow(run, "part int, once binary, again binary, gram binary")
 
@@ -180,6 +228,142 @@ def _repeated(hashed: DataFrame) -> bytearray:
     return bytearray(np.packbits(bits, bitorder="little").tobytes())
 
 
+_SEGMENT = "kind int, doc long, body long, at long, raw binary"
+_SEGMENT_KINDS = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+
+
+def _segments(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(_SEGMENT_KINDS)], ["kind", "doc", "body", "at", "raw"])
+
+
+def _between(table: DataFrame, length: int, wanted) -> DataFrame:
+    """Rows of kind 0: what is left of each text without the passages in the filter, each piece with its place."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.frombuffer(wanted.value, np.uint8)
+        rows, size = [], 0
+        for batch in batches:
+            docs, bodies, all_texts = (c.to_pylist() for c in batch.columns)
+            for base, texts in _blocks(all_texts):
+                raw, ends = _joined(texts)
+                begins = np.concatenate([[0], ends[:-1]]).astype(np.int64)
+                text, begin, end, value = passages(raw, ends, length)
+                keep = np.flatnonzero(~_set(bits, value))
+                # Passages that follow each other are one piece.
+                first = np.flatnonzero(np.r_[True, (np.diff(keep) > 1) | (np.diff(text[keep]) > 0)]) if len(keep) else keep
+                last = np.r_[first[1:] - 1, len(keep) - 1] if len(keep) else keep
+                own = text[keep[first]]
+                places = zip(own.tolist(), begins[own].tolist(), begin[keep[first]].tolist(), end[keep[last]].tolist(), strict=True)
+                rows += [(0, docs[base + k], bodies[base + k], a - zero, raw[a:b]) for k, zero, a, b in places]
+                size += len(raw)
+                if size >= OUT_ONCE:
+                    yield _segments(rows)
+                    rows, size = [], 0
+        if rows:
+            yield _segments(rows)
+
+    return table.mapInArrow(run, _SEGMENT)
+
+
+def _later(found: dict[tuple[int, int], list[tuple[int, int]]], one: tuple, two: tuple, size: int) -> None:
+    """Cover the later one of two equal passages."""
+    if one != two:
+        doc, body, place = max(one, two)
+        found.setdefault((doc, body), []).append((place, place + size))
+
+
+def _passage_pass(table: DataFrame, length: int, wanted, parts: int) -> DataFrame:
+    """Rows of kind 0 (passages in the filter, packed, with their part as the place) and 1 (covered intervals of a document)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        bits = np.frombuffer(wanted.value, np.uint8)
+        held: dict[bytes, tuple] = {}
+        where: dict[int, list[bytes]] = {}
+        found: dict[tuple[int, int], list[tuple[int, int]]] = {}
+        size = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            nonlocal held, where, found, size
+            rows = _covers(found)
+            for part, own in where.items():
+                numbers = np.array([(*held[x], len(x)) for x in own], np.int64)
+                packed = zstandard.ZstdCompressor(level=LEVEL).compress(b"".join([numbers.T.tobytes(), *own]))
+                rows.append((0, None, None, part, struct.pack("<I", len(own)) + packed))
+            held, where, found, size = {}, {}, {}, 0
+            yield _segments(rows)
+
+        for batch in batches:
+            docs, bodies, all_texts = (c.to_pylist() for c in batch.columns)
+            for base, texts in _blocks(all_texts):
+                raw, ends = _joined(texts)
+                begins = np.concatenate([[0], ends[:-1]]).astype(np.int64)
+                text, begin, end, value = passages(raw, ends, length)
+                keep = np.flatnonzero(_set(bits, value))
+                own = text[keep]
+                part = ((value[keep] & np.uint64(0xFFFFFFFF)) % np.uint64(parts)).tolist()
+                for k, zero, a, b, r in zip(own.tolist(), begins[own].tolist(), begin[keep].tolist(), end[keep].tolist(), part, strict=True):
+                    passage, place = raw[a:b], (docs[base + k], bodies[base + k], a - zero)
+                    known = held.get(passage)
+                    if known is None:
+                        where.setdefault(r, []).append(passage)
+                    else:
+                        _later(found, known, place, b - a)
+                    held[passage] = place if known is None else min(known, place)
+                size += len(raw)
+                if size >= RUN_BYTES:
+                    yield from flush()
+        if held:
+            yield from flush()
+
+    return table.mapInArrow(run, _SEGMENT)
+
+
+def _first_pass(pieces: DataFrame) -> DataFrame:
+    """Rows of kind 0 (the first of equal passages) and 1 (covered intervals of a document)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        def firsts(packed: list[bytes]) -> Iterator[pa.RecordBatch]:
+            held: dict[bytes, tuple] = {}
+            found: dict[tuple[int, int], list[tuple[int, int]]] = {}
+            for piece in packed:
+                (n,) = struct.unpack_from("<I", piece)
+                raw = zstandard.ZstdDecompressor().decompress(piece[4:])
+                at = 32 * n
+                for doc, body, place, size in np.frombuffer(raw, np.int64, 4 * n).reshape(4, n).T.tolist():
+                    passage, own = raw[at : at + size], (doc, body, place)
+                    at += size
+                    known = held.setdefault(passage, own)
+                    _later(found, known, own, size)
+                    if own < known:
+                        held[passage] = own
+            rows = [(0, *own, passage) for passage, own in held.items()] + _covers(found)
+            for k in range(0, len(rows), 10_000):
+                yield _segments(rows[k : k + 10_000])
+
+        part, packed = None, []
+        for batch in batches:
+            kinds = batch.column(0).to_pylist()
+            done = [k for k, kind in enumerate(kinds) if kind == 1]
+            if done:
+                yield batch.take(pa.array(done))
+            for kind, k, piece in zip(kinds, batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
+                if kind == 1:
+                    continue
+                if k != part and part is not None:
+                    yield from firsts(packed)
+                    packed = []
+                part = k
+                packed.append(piece)
+        if part is not None:
+            yield from firsts(packed)
+
+    return pieces.mapInArrow(run, _SEGMENT)
+
+
 # A run: for each suffix the length shared with the one before, the rest of it, the bytes to the
 # left, and where it is from.
 def _pack(entries: list[tuple]) -> bytes:
@@ -191,7 +375,7 @@ def _pack(entries: list[tuple]) -> bytes:
     numbers = np.array([(s, len(r), len(e[1])) for s, r, e in zip(shared, rests, entries, strict=True)], "<u2")
     where = np.array([e[2] for e in entries], np.int64)
     parts = [numbers.T.tobytes(), where.T.tobytes(), b"".join(rests), b"".join(e[1] for e in entries)]
-    return struct.pack("<I", len(entries)) + zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
+    return struct.pack("<I", len(entries)) + zstandard.ZstdCompressor(level=LEVEL).compress(b"".join(parts))
 
 
 def _unpack(run: bytes) -> Iterator[tuple]:
@@ -286,6 +470,10 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(_KINDS)], _COVER.fieldNames())
 
 
+def _covers(found: dict[tuple[int, int], list[tuple[int, int]]]) -> list[tuple]:
+    return [(1, doc, body, None, _intervals(spans)) for (doc, body), spans in found.items()]
+
+
 def _covered(found: dict[tuple[int, int], list[tuple[int, int]]]) -> list[tuple]:
     return [(1, None, _intervals(spans), doc, body) for (doc, body), spans in found.items()]
 
@@ -322,13 +510,13 @@ def _run_pass(table: DataFrame, length: int, wanted, splitters) -> DataFrame:
             yield _batch(rows)
 
         for batch in batches:
-            docs, bodies, all_texts = (c.to_pylist() for c in batch.columns)
+            docs, bodies, places, all_texts = (c.to_pylist() for c in batch.columns)
             for base, texts in _blocks(all_texts):
                 raw, ends = _joined(texts)
-                begins = np.concatenate([[0], ends[:-1]]).astype(np.int64)
+                # Where each text would begin if it were whole.
+                begins = np.concatenate([[0], ends[:-1]]).astype(np.int64) - np.array(places[base : base + len(texts)], np.int64)
                 text, first, last, anchor, hashes = anchors(raw, ends, length)
-                at = hashes >> np.uint64(64 - FILTER_BITS)
-                keep = np.flatnonzero(bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1)
+                keep = np.flatnonzero(_set(bits, hashes))
                 rows = zip(text[keep].tolist(), first[keep].tolist(), last[keep].tolist(), anchor[keep].tolist(), begins[text[keep]].tolist(), strict=True)
                 for k, a, b, p, zero in rows:
                     name = (raw[p : b + length], raw[a:p])
@@ -426,16 +614,39 @@ def covered(docs: DataFrame, length: int = 100, key: str = "doc_id", text: str =
         raise ValueError(f"length must be from {GRAM} to {(1 << 16) - 1}")
     if not isinstance(docs.schema[key].dataType, T.IntegralType):
         raise TypeError(f"{key} must be an integer column, which orders the documents")
-    table = _documents(docs, key, text)
-    hashed = cut(_hash_pass(table, length))
-    wanted = spark.sparkContext.broadcast(bytes(_repeated(hashed)))
-    splitters = spark.sparkContext.broadcast(_splitters(spark, hashed, 4 * partitions(spark)))
+    found, firsts = _covered_by(_documents(docs, key, text), length)
+    spans = cut(found.groupBy("doc", "body").agg(F.collect_list("run").alias("spans")))
+    discard(firsts)
+    del found
+    release(spark)
+    return spans
+
+
+def _filter(hashed: DataFrame):
+    return hashed.sparkSession.sparkContext.broadcast(bytes(_repeated(hashed)))
+
+
+def _covered_by(table: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc, body, run) of covered intervals, and the table that they are read from."""
+    spark, parts = table.sparkSession, partitions(table.sparkSession)
+    hashed = written(_hash_pass(table.select("raw"), length, whole=True))
+    wanted = _filter(hashed)
+    discard(hashed)
+    dealt = F.coalesce("at", F.pmod(F.xxhash64("doc", "body"), F.lit(parts)))
+    packed = _passage_pass(table.select("doc", "body", "raw"), length, wanted, parts).withColumn("at", dealt)
+    firsts = written(_first_pass(packed.repartition("at").sortWithinPartitions("at", "kind")))
+    del packed
+    segments = _between(table.select("doc", "body", "raw"), length, wanted).unionByName(firsts.where("kind = 0"))
+    hashed = written(_hash_pass(segments.select("raw"), length))
+    repeated = _filter(hashed)
+    splitters = spark.sparkContext.broadcast(_splitters(spark, hashed, 4 * parts))
+    discard(hashed)
     # Intervals that a run covers by itself go along with the pieces, so the runs are made once.
-    coded = _run_pass(table.select("doc", "body", "raw"), length, wanted, splitters)
-    spread = F.coalesce("part", F.pmod(F.xxhash64("doc", "body"), F.lit(4 * partitions(spark))).cast("int"))
+    coded = _run_pass(segments.select("doc", "body", "at", "raw"), length, repeated, splitters)
+    spread = F.coalesce("part", F.pmod(F.xxhash64("doc", "body"), F.lit(4 * parts)).cast("int"))
     pieces = coded.withColumn("part", spread).repartition("part").sortWithinPartitions("part", "kind")
-    found = _merge_pass(pieces, length)
-    return cut(found.groupBy("doc", "body").agg(F.collect_list("run").alias("spans")))
+    whole = firsts.where("kind = 1").select("doc", "body", F.col("raw").alias("run"))
+    return _merge_pass(pieces, length).select("doc", "body", "run").unionByName(whole), firsts
 
 
 def _cleaned(hit: DataFrame, kind) -> DataFrame:

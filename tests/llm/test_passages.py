@@ -86,6 +86,32 @@ def test_substrings_of_null_and_repeated_rows(spark):
     assert found == [("5", len(text)), ("5", len(text)), ("6", len(text)), ("None", 0)]
 
 
+def test_copies_are_sorted_once(spark, monkeypatch):
+    """Of many copies of a text, the suffix array is given about one."""
+    rng = random.Random(4)
+    word = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    text, sizes, run_pass = word(4000), [], suffixes._run_pass
+
+    def counted(table, *more):
+        sizes.append(sum(len(r["raw"]) for r in table.select("raw").collect()))
+        return run_pass(table, *more)
+
+    monkeypatch.setattr(suffixes, "_run_pass", counted)
+    rows = [(k, word(150) + text[k : 4000 - k] + word(150)) for k in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r["doc_id"]: (bytes(r["kept"]), r["n_bytes"], r["n_removed"], r["n_spans"]) for r in suffixes.dedup_substrings(df).collect()}
+    assert found == brute_bytes(rows)
+    assert sizes[0] < 40 * 4000 / 2
+
+
+def test_passages_hold_every_string_once():
+    rng = random.Random(6)
+    texts = [bytes(rng.choice(b"abc") for _ in range(rng.choice([0, 99, 100, 101, 700, 5000]))) for _ in range(60)]
+    raw, ends = suffixes._joined(texts)
+    starts = [s for _, a, b, _ in zip(*suffixes.passages(raw, ends, 100), strict=True) for s in range(a, b - 99)]
+    assert starts == [s for end, t in zip(ends.tolist(), texts, strict=True) for s in range(end - len(t), end - 99)]
+
+
 def test_loser_tree_knows_shared_prefixes():
     rng = random.Random(3)
     for _ in range(200):
